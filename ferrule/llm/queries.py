@@ -31,8 +31,41 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op10_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have similarity 0.8 or more."""
+    from . import near
+
+    return near.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+#: A-Z to lower case, and no other letters.
+SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP10_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce({SQL_LOWER}, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS s
+  FROM w
+), sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS d, doc_id AS r FROM documents
+  UNION
+  SELECT reach.d, links.b FROM reach JOIN links ON links.a = reach.r
+)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least_id AS component_id, sets.doc_id = least_id AS kept
+FROM sets JOIN (SELECT d, min(r) AS least_id FROM reach GROUP BY d) ON d = sets.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op10_minhash_near": op10_minhash_near,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_minhash_near": OP10_SQL,
+}
