@@ -31,6 +31,15 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every whole text under a model of six sevenths of the texts."""
+    from . import lm
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = lm.score(table(spark, sf_dir, "documents"), F.coalesce(~held_out, F.lit(True)))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have similarity 0.8 or more."""
     from . import near
@@ -63,6 +72,7 @@ FROM sets JOIN (SELECT d, min(r) AS least_id FROM reach GROUP BY d) ON d = sets.
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op8_backoff_lm": op8_backoff_lm,
     "op10_minhash_near": op10_minhash_near,
 }
 
