@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_fold(id_col: str, folds: int, fold: int) -> Column:
+    """Whether the crc32 of the id as text leaves this remainder; a null id is in no fold."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the digest of what they decode to."""
     return bpe_digests(table(spark, sf_dir, "documents"))
@@ -31,12 +36,28 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op4_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    found = language(docs.select("doc_id", "text", "lang"))
+    return found.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def language(docs: DataFrame) -> DataFrame:
+    """docs with lang_pred and score, learned from their own labels outside of the held-out fold."""
+    import public_tokenizers
+
+    from . import langid
+
+    model = langid.fit(docs.where(~in_fold("doc_id", 4, 2)), public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.predict(docs, model)
+
+
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every whole text under a model of six sevenths of the texts."""
     from . import lm
 
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    scored = lm.score(table(spark, sf_dir, "documents"), F.coalesce(~held_out, F.lit(True)))
+    scored = lm.score(table(spark, sf_dir, "documents"), ~in_fold("doc_id", 7, 2))
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -72,6 +93,7 @@ FROM sets JOIN (SELECT d, min(r) AS least_id FROM reach GROUP BY d) ON d = sets.
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_piece_language": op4_piece_language,
     "op8_backoff_lm": op8_backoff_lm,
     "op10_minhash_near": op10_minhash_near,
 }

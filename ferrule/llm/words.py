@@ -68,12 +68,13 @@ def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
         cut = i
 
 
-def words(texts: pa.Array, separators: bytes = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words with A-Z in lower case, in order, and where each text's words begin."""
+def words(texts: pa.Array, separators: bytes = SPACES, spans: bool = False) -> tuple[np.ndarray, ...]:
+    """Hashes of all words with A-Z in lower case, in order, and where each text's words begin; then the words' spans."""
     data, at = buffer(texts)
     n = len(data)
     if not n:
-        return np.empty(0, _U), np.zeros(len(at), dtype=np.int64)
+        none = np.empty(0, dtype=np.int64)
+        return (np.empty(0, _U), np.zeros(len(at), dtype=np.int64), none, none)[: 4 if spans else 2]
     gap = np.zeros(256, dtype=bool)
     gap[list(separators)] = True
     inside = ~gap[data]
@@ -89,7 +90,7 @@ def words(texts: pa.Array, separators: bytes = SPACES) -> tuple[np.ndarray, np.n
         total = np.zeros(n + 1, dtype=_U)
         np.cumsum(_LOWER_LETTER[data] * power[:n], out=total[1:])
         h = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(_U))
-    return h, np.searchsorted(s, at)
+    return (h, np.searchsorted(s, at), s, e)[: 4 if spans else 2]
 
 
 def shingles(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
