@@ -61,6 +61,13 @@ def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items that overlap, substitutions allowed for."""
+    from . import decontaminate
+
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have similarity 0.8 or more."""
     from . import near
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_piece_language": op4_piece_language,
     "op8_backoff_lm": op8_backoff_lm,
+    "op9_spaced_seeds": op9_spaced_seeds,
     "op10_minhash_near": op10_minhash_near,
 }
 
