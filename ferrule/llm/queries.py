@@ -53,6 +53,20 @@ def language(docs: DataFrame) -> DataFrame:
     return langid.predict(docs, model)
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, written to indexed shards in order of doc_id and read back."""
+    import public_tokenizers
+
+    from . import tokenfile
+    from .shelf import Shelf
+
+    shelf = Shelf(spark, "ids")
+    path = shelf.place()
+    tokenfile.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    rows = shelf.put(tokenfile.read(spark, path))
+    return tokenfile.layout(rows).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every whole text under a model of six sevenths of the texts."""
     from . import lm
@@ -101,6 +115,7 @@ FROM sets JOIN (SELECT d, min(r) AS least_id FROM reach GROUP BY d) ON d = sets.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_piece_language": op4_piece_language,
+    "op6_token_file": op6_token_file,
     "op8_backoff_lm": op8_backoff_lm,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_minhash_near": op10_minhash_near,
