@@ -67,6 +67,13 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.layout(rows).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op7_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    from . import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every whole text under a model of six sevenths of the texts."""
     from . import lm
@@ -112,15 +119,30 @@ SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least_id AS component_
 FROM sets JOIN (SELECT d, min(r) AS least_id FROM reach GROUP BY d) ON d = sets.doc_id
 """
 
+OP7_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_piece_language": op4_piece_language,
     "op6_token_file": op6_token_file,
+    "op7_additive_ann": op7_additive_ann,
     "op8_backoff_lm": op8_backoff_lm,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_minhash_near": op10_minhash_near,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_additive_ann": OP7_SQL,
     "op10_minhash_near": OP10_SQL,
 }
