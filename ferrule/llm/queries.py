@@ -17,6 +17,34 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC capture and read back, the records assembled into transactions."""
+    from . import warc
+    from .shelf import Shelf
+
+    path = Shelf(spark, "warc").place()
+    warc.write(table(spark, sf_dir, "pages"), path)
+    rows = warc.transactions(warc.records(spark, path).drop("payload")).where("response is not null")
+    fields = F.col("metadata")[0]["fields"]
+    return rows.select(
+        fields["page-id"].cast("long").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        fields["refers-to-page-id"].cast("long").alias("refers_to"),
+    )
+
+
+def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known licence sentences of every document, in order, and the licences whose rules they fulfil."""
+    from . import licenses
+
+    found = licenses.recognise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.size("sentence_ids").cast("long").alias("n_known"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("license_ids", ",").alias("license_ids")
+    )
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the digest of what they decode to."""
     return bpe_digests(table(spark, sf_dir, "documents"))
@@ -119,6 +147,47 @@ SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least_id AS component_
 FROM sets JOIN (SELECT d, min(r) AS least_id FROM reach GROUP BY d) ON d = sets.doc_id
 """
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest, row_number() OVER () AS i FROM pages),
+g AS (SELECT digest, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.digest = g.digest
+"""
+
+
+def _op3_sql() -> str:
+    from . import licenses
+
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.KNOWN.items())
+    rules = ", ".join(f"('{n}', ' {' '.join(ids)} ')" for n, ids in licenses.RULES)
+    normal = "trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+    ends = "regexp_replace({}, '([.!?:])[ \\t\\n\\r]+', '\\1' || chr(1), 'g')"
+    cuts = {
+        "by_line": f"string_split(regexp_replace({ends.format('coalesce(text, chr(32))')}, '[\\n\\r]+', chr(1), 'g'), chr(1))",
+        "joined": f"string_split({ends.format('coalesce(text, chr(32))')}, chr(1))",
+    }
+    parts = []
+    for name, cut in cuts.items():
+        parts.append(f"{name}_s AS (SELECT doc_id, unnest(c) AS s, unnest(range(len(c))) AS i FROM (SELECT doc_id, {cut} AS c FROM documents))")
+        parts.append(f"{name} AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS q FROM {name}_s JOIN known ON known.s = {normal.replace('(s,', f'({name}_s.s,')} GROUP BY doc_id)")
+    return f"""
+WITH known(s, id) AS (VALUES {known}), rules(license, q) AS (VALUES {rules}), {", ".join(parts)},
+d AS (
+  SELECT documents.doc_id, coalesce(by_line.n, 0) AS nl, coalesce(joined.n, 0) AS nj, coalesce(by_line.q, '') AS ql, coalesce(joined.q, '') AS qj
+  FROM documents LEFT JOIN by_line USING (doc_id) LEFT JOIN joined USING (doc_id)
+), hold AS (
+  SELECT DISTINCT doc_id, license FROM d JOIN rules ON contains(' ' || ql || ' ', rules.q) OR contains(' ' || qj || ' ', rules.q)
+), named AS (
+  SELECT doc_id, string_agg(license, ',' ORDER BY license) AS ids FROM hold h
+  WHERE NOT (license = 'BSD-2-Clause' AND EXISTS (SELECT 1 FROM hold w WHERE w.doc_id = h.doc_id AND w.license = 'BSD-3-Clause')) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(greatest(nl, nj) AS BIGINT) AS n_known, replace(CASE WHEN nj > nl THEN qj ELSE ql END, ' ', ',') AS sentence_ids, coalesce(ids, '') AS license_ids
+FROM d LEFT JOIN named USING (doc_id)
+"""
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
@@ -133,7 +202,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_license_rules": op3_license_rules,
     "op4_piece_language": op4_piece_language,
     "op6_token_file": op6_token_file,
     "op7_additive_ann": op7_additive_ann,
@@ -143,6 +214,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": OP1_SQL,
+    "op3_license_rules": _op3_sql(),
     "op7_additive_ann": OP7_SQL,
     "op10_minhash_near": OP10_SQL,
 }
