@@ -81,6 +81,13 @@ def language(docs: DataFrame) -> DataFrame:
     return langid.predict(docs, model)
 
 
+def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from . import html
+
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, written to indexed shards in order of doc_id and read back."""
     import public_tokenizers
@@ -206,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_license_rules": op3_license_rules,
     "op4_piece_language": op4_piece_language,
+    "op5_html_wrappers": op5_html_wrappers,
     "op6_token_file": op6_token_file,
     "op7_additive_ann": op7_additive_ann,
     "op8_backoff_lm": op8_backoff_lm,
