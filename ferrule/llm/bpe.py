@@ -16,7 +16,8 @@ repeated rows; other columns are ignored, so clashing names cannot arise.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -24,10 +25,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 2_000_000
-#: Entries of a task's word table before it is emptied.
-CACHE_ENTRIES = 400_000
+from . import words as W
+
+#: Bytes of text in a block; a longer text is a block of its own.
+BLOCK_BYTES = 2_000_000
+#: Words that a worker process keeps from task to task; beyond that only those of the present block stay.
+CACHE_ENTRIES = 1_000_000
 
 
 class MergeReplay:
@@ -131,33 +134,29 @@ class MergeReplay:
         return out
 
 
-def blocks(texts: Iterable[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about ``most`` characters each."""
-    start, size, i = 0, 0, 0
-    for i, t in enumerate(texts, 1):
-        size += len(t)
-        if size >= most:
-            yield start, i
-            start, size = i, 0
-    if start < i:
-        yield start, i
+@lru_cache(1)
+def _replay(ranks_path: str, pattern: str) -> tuple[MergeReplay, dict[str, bytes]]:
+    """The ranks and the table of words for all tasks of a worker process."""
+    return MergeReplay.from_file(ranks_path), {}
 
 
 def encoder(ranks_path: str, pattern: str, id_col: str, text_col: str, with_decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        replay, find = MergeReplay.from_file(ranks_path), regex.compile(pattern).findall
-        table: dict[str, bytes] = {}
+        (replay, table), find = _replay(ranks_path, pattern), regex.compile(pattern).findall
         piece = replay.pieces.__getitem__
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index(id_col))
             texts = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)), "")
-            for a, b in blocks(x.as_py() for x in texts):
-                split = [find(x.as_py()) for x in texts.slice(a, b - a)]
+            for a, b in W.blocks(texts, BLOCK_BYTES):
+                split = [find(x) for x in texts.slice(a, b - a).to_pylist()]
+                words = set().union(*split)
                 if len(table) > CACHE_ENTRIES:
+                    stay = {w: table[w] for w in words if w in table}
                     table.clear()
-                new = list(set().union(*split).difference(table))
+                    table.update(stay)
+                new = list(words.difference(table))
                 table.update(zip(new, replay.encode_words([w.encode() for w in new]), strict=True))
                 ids = [b"".join(map(table.__getitem__, words)) for words in split]
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)

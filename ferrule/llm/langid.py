@@ -9,7 +9,7 @@ word mark before them.  A run of over MOST_CHARS characters is taken in parts of
 in the range of doubles.  A character that no piece covers costs the same in every language.
 
 Fitting reads a bounded sample: for each label the labelled texts with the smallest hashes, whole, up to
-SAMPLE_BYTES.  What is broadcast has the size of the vocabulary times the number of labels.
+SAMPLE_BYTES (at least one).  What is broadcast has the size of the vocabulary times the number of labels.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from . import words as W
 from .shelf import bounded_batches
 
 SAMPLE_BYTES = 2_000_000
-SAMPLE_TEXTS = 2_000
 BLOCK_BYTES = 4_000_000
 MOST_CHARS = 24
 MOST_PIECE = 16
@@ -207,11 +206,13 @@ def fit(labelled: DataFrame, vocabulary: str, text_col: str = "text", label_col:
     """Learns from the labelled texts: of each label those with the smallest hashes, whole, up to SAMPLE_BYTES."""
     bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).where("label is not null and text is not null and text <> ''")
+    # labels with much text are thinned by hash first, so what is dealt to a label's task has a bound at any size
     rows = rows.withColumn("h", F.xxhash64("text", "label"))
+    sizes = rows.groupBy("label").agg(F.sum(F.octet_length("text").cast("double")).alias("bytes"), F.min("h").alias("least"))
+    rows = rows.join(sizes, "label").where(((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("bytes") <= 2 * SAMPLE_BYTES) | (F.col("h") == F.col("least")))
     by = Window.partitionBy("label").orderBy("h", "text")
-    rows = rows.withColumn("i", F.row_number().over(by)).where(F.col("i") <= SAMPLE_TEXTS)
     upto = F.sum(F.octet_length("text").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("upto", upto).where((F.col("upto") <= SAMPLE_BYTES) | (F.col("i") == 1))
+    rows = rows.withColumn("i", F.row_number().over(by)).withColumn("upto", upto).where((F.col("upto") <= SAMPLE_BYTES) | (F.col("i") == 1))
 
     def one(group: pa.Table) -> pa.Table:
         pieces = Pieces.from_file(vocabulary)

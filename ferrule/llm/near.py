@@ -5,12 +5,13 @@ only classes go on.  In each of TREES independent trees a class walks down chose
 path chooses one of the SIZE minwise positions, and in a share of the nodes a second one; a class goes on to the
 child named by its token there.  Two classes of similarity s share a child with probability s for each position,
 so at the threshold as many shared nodes are expected at any depth.  Nodes of up to SMALL classes are compared
-exhaustively; larger ones go on to the next depth.  Nodes that are still large at the last depth hold classes that
-agree on all chosen tokens: these are compared with leaders, as only what is connected is asked for, and a
-second round compares with other leaders whatever is not yet connected.
+exhaustively; larger ones go on to the next depth.
 
-Every pair is confirmed on full sets.  Of the pairs found in small nodes, first each class's most frequent partner
-is confirmed, then all pairs that are not connected by then; none is dropped.
+Only what is connected is asked for, so a pair that is connected already need not be compared.  Classes in nodes of
+more than LED are first compared with the nodes' leaders, a few times with other leaders each time.  A node whose
+classes are all connected by then is done; others of more than SMALL go down further.  In what is still large at the
+last depth, each class that is not with the most is compared with those most like it by their minwise tokens.  Of the pairs met in small nodes, first each class's most frequent partner is
+confirmed, then all pairs that are not connected by then.  Every link is confirmed on full sets.
 
 At similarity 0.8 a tree of depth 4 keeps a pair together with probability 0.57, so 16 trees miss about one
 pair in a million at the threshold itself, and fewer above it.
@@ -32,7 +33,14 @@ from .shelf import Shelf, bounded_batches
 SIZE = 64
 TREES = 16
 DEPTHS = (4, 8, 12)
-SMALL = 16
+#: Most classes in a node that is compared exhaustively.
+SMALL = 48
+#: Nodes with more classes than this are compared with leaders before.
+LED = 8
+#: Members of a block of a large node, and the partners that a class is given in it.
+BLOCK = 1000
+PARTNERS = 8
+#: Rounds in which the classes of large nodes are compared with leaders.
 LEADERS = 3
 _U = np.uint64
 _MULTIPLY = W.mix(np.arange(1, SIZE + 1, dtype=_U)) | _U(1)
@@ -165,7 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     profiles = shelf.put(source.mapInArrow(_profiles("id", "text", k), f"id {kind}, n long, c binary, sig binary"))
     classes = shelf.put(profiles.where("c is not null").groupBy("c").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")))
-    pairs, dense = _candidates(classes, shelf, num, den)
+    share = den / num - 1
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked."""
@@ -175,18 +183,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         two = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
         return two.mapInArrow(_confirm(k, num, den), "a binary, b binary, linked boolean").where("linked").select("a", "b")
 
+    links = root = None
+
+    def link(pairs: DataFrame) -> None:
+        """Confirms the pairs; root then says which classes are connected so far."""
+        nonlocal links, root
+        new = shelf.put(confirmed(shelf.put(pairs)))
+        links = new if links is None else links.union(new)
+        root = shelf.put(components(links, shelf))
+
+    def labelled(rows: DataFrame, name: str = "c") -> DataFrame:
+        if root is None:
+            return rows.withColumn("label", F.col(name))
+        return rows.join(root.toDF(name, "label"), name, "left").withColumn("label", F.coalesce("label", name))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs that are not connected so far."""
+        return labelled(labelled(pairs, "a").withColumnRenamed("label", "la"), "b").where("la <> label").drop("la", "label")
+
+    # the nodes that are not quite small at the first depth: their classes are compared with leaders
+    rows = shelf.put(_sized(classes.select("c", "n", "sig").mapInArrow(_paths(0, DEPTHS[0], 1, share), "path long, c binary, n long")))
+    many = rows.where(F.col("size") > LED)
+    if not many.isEmpty():
+        for i in range(LEADERS):
+            led = _led(many, i) if root is None else apart(_led(many, i))
+            link(led.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))
+    # the pairs met in small nodes, and in those that large nodes come to deeper in the trees
+    pairs = _met(labelled(rows.where(F.col("size") <= SMALL)), num, den)
+    large = rows.where(F.col("size") > SMALL)
+    for depth_from, depth_to in zip(DEPTHS, DEPTHS[1:], strict=False):
+        if root is None:
+            break
+        large = _mixed(labelled(large.select("path", "c", "n"))).join(classes.select("c", "sig"), "c").select("c", "n", "sig", "path")
+        rows = shelf.put(_sized(large.mapInArrow(_paths(depth_from, depth_to, 1, share), "path long, c binary, n long")))
+        pairs = pairs.union(_met(labelled(rows.where(F.col("size") <= SMALL)), num, den))
+        large = rows.where(F.col("size") > SMALL)
+    if root is not None:
+        pairs = pairs.union(_alike(_mixed(labelled(large)).join(classes.select("c", "sig"), "c"), num / den))
+    pairs = shelf.put(pairs.groupBy("a", "b").agg(F.count("*").alias("times")))
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
-    links = shelf.put(confirmed(shelf.put(first.union(dense.select("a0", "c")).where("a <> b").distinct())))
-    root = shelf.put(components(links, shelf))
-    # what is not connected yet: all other pairs, and the other leaders
-    rest = pairs.select("a", "b")
-    for i in range(1, LEADERS):
-        rest = rest.union(dense.select(f"a{i}", "c"))
-    for side in "ab":
-        rest = rest.join(root.toDF(side, f"r{side}"), side, "left")
-    rest = rest.where("a <> b and coalesce(ra, a) <> coalesce(rb, b)").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = shelf.put(confirmed(shelf.put(rest)))
-    root = components(links.union(more), shelf)
+    link(first)
+    link(apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti")))
     named = shelf.put(classes.select("c", "id").join(root, "c", "left").withColumn("root", F.coalesce("root", "c")))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     found = named.join(least, "root").select("c", "component_id")
@@ -200,25 +237,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _candidates(classes: DataFrame, shelf: Shelf, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, times) met in small nodes, and members of dense nodes with their leaders (c, a0, a1, ...)."""
-    share = den / num - 1
-    pairs, dense, large = None, None, None
-    for depth_from, depth_to in zip((0, *DEPTHS), DEPTHS, strict=False):
-        if large is None:
-            rows = classes.select("c", "n", "sig").mapInArrow(_paths(0, depth_to, 1, share), "path long, c binary, n long")
-        else:
-            rows = large.join(classes.select("c", "sig"), "c").select("c", "n", "sig", "path").mapInArrow(_paths(depth_from, depth_to, 1, share), "path long, c binary, n long")
-        leaders = [F.min(F.struct(F.xxhash64(F.lit(i), "c"), "c"))["c"].alias(f"a{i}") for i in range(LEADERS)]
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        rows = shelf.put(rows.join(sizes, "path"))
-        members = rows.where(F.col("size") <= SMALL).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("m"))
-        # two sets can only be linked if their sizes are near each other
-        near = members.select(F.explode("m").alias("x"), "m").select(
-            F.col("x.c").alias("a"), F.explode(F.filter("m", lambda y: (y["c"] > F.col("x.c")) & (y["n"] * den >= F.col("x.n") * num) & (F.col("x.n") * den >= y["n"] * num))["c"]).alias("b")
-        )
-        pairs = near if pairs is None else pairs.union(near)
-        large = rows.where(F.col("size") > SMALL).select("path", "c", "n")
-    led = large.groupBy("path").agg(*leaders)
-    dense = shelf.put(large.join(led, "path").select("c", *[f"a{i}" for i in range(LEADERS)]).distinct())
-    return shelf.put(pairs.groupBy("a", "b").agg(F.count("*").alias("times"))), dense
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows (path, c, n) of nodes with two classes or more, with the node's size."""
+    return rows.join(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "path")
+
+
+def _led(rows: DataFrame, i: int) -> DataFrame:
+    """Pairs (a, b, times) of a node's leader and another class in it; leaders are the least by the i-th hash."""
+    leader = rows.groupBy("path").agg(F.min(F.struct(F.xxhash64(F.lit(i), "c"), "c"))["c"].alias("a"))
+    pairs = rows.select("path", F.col("c").alias("b")).join(leader, "path").where("a <> b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("times"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of nodes in which more than one label is left."""
+    return rows.join(rows.groupBy("path").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("path"), "path", "left_semi")
+
+
+def _alike(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) from nodes that are large at the last depth: each class outside of a node's main label with those
+    that agree with it most in their minwise tokens.  Nodes are cut into blocks, so none is in one task."""
+    labels = rows.groupBy("path", "label").agg(F.count("*").alias("k"))
+    main = labels.groupBy("path").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    members = rows.select("path", F.pmod(F.xxhash64("c", "path"), F.col("blocks")).cast("int").alias("s"), "c", "label", "sig")
+    strays = rows.join(main, "path").where("label <> main").select("path", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"), "c", "label", "sig").toDF("p", "t", "a", "own", "asig")
+
+    def compare(strays: pa.Table, members: pa.Table) -> pa.Table:
+        x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), dtype=np.uint32).reshape(-1, SIZE) for t, i in ((strays, "asig"), (members, "sig")))
+        c, label = members.column("c").to_pylist(), members.column("label").to_pylist()
+        names = {v: i for i, v in enumerate(set(label) | set(strays.column("own").to_pylist()))}
+        label = np.array([names[v] for v in label], dtype=np.int64)
+        out = set()
+        for i, (a, own) in enumerate(zip(strays.column("a").to_pylist(), strays.column("own").to_pylist(), strict=True)):
+            same = np.where(label == names[own], 0, (y == x[i]).sum(axis=1)) if len(y) else np.zeros(0)
+            best = np.argsort(-same, kind="stable")[:PARTNERS]
+            # three standard deviations of the estimate below the threshold
+            out.update((min(a, c[j]), max(a, c[j])) for j in best.tolist() if same[j] >= SIZE * least - 3 * (SIZE * least * (1 - least)) ** 0.5)
+        a, b = zip(*sorted(out), strict=True) if out else ((), ())
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return strays.groupBy("p", "t").cogroup(members.groupBy("path", "s")).applyInArrow(compare, "a binary, b binary")
+
+
+def _met(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the classes in a small node that are not connected and whose sizes allow a link."""
+    members = rows.groupBy("path").agg(F.collect_list(F.struct("c", "n", "label")).alias("m"))
+
+    def fits(y):
+        return (y["c"] > F.col("x.c")) & (y["label"] != F.col("x.label")) & (y["n"] * den >= F.col("x.n") * num) & (F.col("x.n") * den >= y["n"] * num)
+
+    return members.select(F.explode("m").alias("x"), "m").select(F.col("x.c").alias("a"), F.explode(F.filter("m", fits)["c"]).alias("b"))

@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from unicodedata import normalize
 
 import numpy as np
@@ -35,8 +36,9 @@ from .shelf import bounded_batches
 
 MAGIC = b"FRLIDS01"
 SHARD_IDS = 4_000_000
-BLOCK_CHARS = 2_000_000
-CACHE_ENTRIES = 400_000
+BLOCK_BYTES = 2_000_000
+#: Words that a worker process keeps from task to task; beyond that only those of the present block stay.
+CACHE_ENTRIES = 1_000_000
 _U = np.uint64
 
 
@@ -182,13 +184,20 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
+        words = set().union(*split)
         if len(self.table) > CACHE_ENTRIES:
-            self.table = {"": b""}
-        self.learn(set().union(*split).difference(self.table))
+            self.table = {"": b""} | {w: self.table[w] for w in words if w in self.table}
+        self.learn(words.difference(self.table))
         get = self.table.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+@lru_cache(1)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process."""
+    return WordEncoder(path)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text and writes the shards into the folder ``path``.
 
@@ -198,12 +207,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .bpe import blocks
-
-        encoder, task, place = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, task, place = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         kind = np.dtype(encoder.kind)
         end = b"" if end_id is None else np.array([end_id], dtype=kind).tobytes()
-        keys, nulls, data, n_ids = [], [], [], 0
+        keys, nulls, data = [], [], []
 
         def shard() -> pa.RecordBatch:
             ends = np.cumsum([len(x) // kind.itemsize for x in data])
@@ -212,13 +219,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
 
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for a, b in blocks((x.as_py() for x in texts), BLOCK_CHARS):
+            for a, b in W.blocks(texts, BLOCK_BYTES):
                 ids = batch.column(0).slice(a, b - a)
                 data += [x + end for x in encoder.encode(texts.slice(a, b - a).to_pylist())]
                 nulls += pc.is_null(ids).to_pylist()
                 keys += pc.fill_null(ids, 0).to_pylist()
-                n_ids = sum(map(len, data)) // kind.itemsize
-                if n_ids >= SHARD_IDS:
+                if sum(map(len, data)) >= SHARD_IDS * kind.itemsize:
                     yield shard()
                     keys, nulls, data, place = [], [], [], place + 1
         if keys:
