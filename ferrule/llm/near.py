@@ -237,6 +237,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs that stay, as they are: of each component the document with the smallest id.
+
+    Texts without words are nobody's duplicates and stay.  Rows of one id stay or go together: they stay if one of
+    them is kept.  Rows with a null id cannot be told apart and stay.  An empty table gives an empty one.
+    """
+    kept = near_duplicates(docs, id_col, text_col, k, num, den).groupBy(id_col).agg(F.max("kept").alias("__kept"))
+    return docs.join(kept.where(~F.col("__kept")).select(id_col), id_col, "left_anti").select(*docs.columns)
+
+
 def _sized(rows: DataFrame) -> DataFrame:
     """Rows (path, c, n) of nodes with two classes or more, with the node's size."""
     return rows.join(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "path")
