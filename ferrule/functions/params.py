@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # The keys, as they stand in the texts.
 PARAM_KEYS = [
     "Вид услуги", "Тип услуги автосервиса", "Тип услуги", "Предмет или специальность", "Специальность или сфера", "Специальность",
@@ -37,7 +39,7 @@ def parse(text: Column, keys: list[str] | None = None) -> Column:
     p = pattern(PARAM_KEYS if keys is None else keys)
     text = F.coalesce(text, F.lit(""))
     found = F.regexp_extract_all(text, F.lit(p), F.lit(1))
-    values = F.transform(F.split(text, p, -1), F.trim)
+    values = F.transform(F.split(text, p, -1), lambda v: strip(v))
     return F.arrays_zip(found.alias("key"), F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))).alias("value"))
 
 

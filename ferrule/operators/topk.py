@@ -41,17 +41,17 @@ def tiered_top_k(members: DataFrame, by: str, item: str, tier: str, key: str, po
 
 def quota_fusion(first: DataFrame, second: DataFrame, by: str, item: str, quota: int, k: int) -> DataFrame:
     """``by, item, rank``: the first ``quota`` of one ranked list, then the other's items that are not among them."""
-    head = first.where(F.col("rank") <= quota).select(by, item, F.lit(0).alias("part"), "rank")
-    rest = second.join(head.select(by, item), [by, item], "left_anti").select(by, item, F.lit(1).alias("part"), "rank")
-    w = Window.partitionBy(by).orderBy("part", "rank", item)
+    head = first.where(F.col("rank") <= quota).select(by, item, F.lit(0).alias("__part"), "rank")
+    rest = second.join(head.select(by, item), [by, item], "left_anti").select(by, item, F.lit(1).alias("__part"), "rank")
+    w = Window.partitionBy(by).orderBy("__part", "rank", item)
     return head.unionByName(rest).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select(by, item, F.col("r").alias("rank"))
 
 
 def fill_up(ranked: DataFrame, base: DataFrame, by: str, item: str, k: int) -> DataFrame:
     """Up to k items a query: those of ``ranked`` in order, then those of ``base`` that are not there yet."""
-    every = ranked.select(by, item, F.lit(0).alias("part"), "rank").unionByName(base.select(by, item, F.lit(1).alias("part"), "rank"))
-    best = every.groupBy(by, item).agg(F.min(F.struct("part", "rank")).alias("at"))
-    w = Window.partitionBy(by).orderBy("at.part", "at.rank", item)
+    every = ranked.select(by, item, F.lit(0).alias("__part"), "rank").unionByName(base.select(by, item, F.lit(1).alias("__part"), "rank"))
+    best = every.groupBy(by, item).agg(F.min(F.struct("__part", "rank")).alias("at"))
+    w = Window.partitionBy(by).orderBy("at.__part", "at.rank", item)
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(by, item, "rank")
 
 
