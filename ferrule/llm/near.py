@@ -9,12 +9,15 @@ exhaustively; larger ones go on to the next depth.
 
 Only what is connected is asked for, so a pair that is connected already need not be compared.  Classes in nodes of
 more than LED are first compared with the nodes' leaders, a few times with other leaders each time.  A node whose
-classes are all connected by then is done; others of more than SMALL go down further.  In what is still large at the
-last depth, each class that is not with the most is compared with those most like it by their minwise tokens.  Of the pairs met in small nodes, first each class's most frequent partner is
-confirmed, then all pairs that are not connected by then.  Every link is confirmed on full sets.
-
-At similarity 0.8 a tree of depth 4 keeps a pair together with probability 0.57, so 16 trees miss about one
-pair in a million at the threshold itself, and fewer above it.
+classes are all connected by then is done; others of more than SMALL go down further.  Of the pairs met in small nodes,
+first each class's most frequent partner is confirmed, then all pairs that are not connected by then.  Nodes that are
+still large at the last depth and not connected by then are joined where they share classes, and in each such group
+every class that is not with the most is compared with all others, exactly and on full sets, in blocks of both sides.
+Every link is confirmed on full sets.
+
+At similarity 0.8 a tree of depth 4 keeps a pair together with probability 0.57.  Were the trees independent, 16 would
+miss about one pair in a million at the threshold itself; but all trees draw from the same SIZE minwise tokens, so a
+pair that agrees in few of these by chance is missed more often, and more so at depths 8 and 12.
 """
 
 from __future__ import annotations
@@ -37,9 +40,8 @@ DEPTHS = (4, 8, 12)
 SMALL = 48
 #: Nodes with more classes than this are compared with leaders before.
 LED = 8
-#: Members of a block of a large node, and the partners that a class is given in it.
-BLOCK = 1000
-PARTNERS = 8
+#: Shingles in a block of what is left in large nodes at the last depth.
+MASS = 1_000_000
 #: Rounds in which the classes of large nodes are compared with leaders.
 LEADERS = 3
 _U = np.uint64
@@ -158,6 +160,19 @@ def _with_key(k: int):
     return run
 
 
+def _sets(k: int):
+    """Of rows (c, text), the full sets as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, e in W.blocks(batch.column(1)):
+                x, at = W.shingles(*W.words(batch.column(1).slice(s, e - s)), k)
+                sets = [x[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(sets, pa.binary())], names=["c", "set"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` for every row.
 
@@ -175,11 +190,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = shelf.put(profiles.where("c is not null").groupBy("c").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")))
     share = den / num - 1
 
+    def texts_of(need: DataFrame) -> DataFrame:
+        """Rows (c, text) of the classes, each once."""
+        need = need.join(classes.select("c", "id"), "c")
+        texts = source.withColumnRenamed("id", "i").join(need, F.col("i").eqNullSafe(F.col("id"))).select("c", "text")
+        return texts.mapInArrow(_with_key(k), "c binary, text string").dropDuplicates(["c"])
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked."""
-        need = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b"))).distinct().join(classes.select("c", "id"), "c")
-        texts = source.withColumnRenamed("id", "i").join(need, F.col("i").eqNullSafe(F.col("id"))).select("c", "text")
-        texts = texts.mapInArrow(_with_key(k), "c binary, text string").dropDuplicates(["c"])
+        texts = texts_of(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b"))).distinct())
         two = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
         return two.mapInArrow(_confirm(k, num, den), "a binary, b binary, linked boolean").where("linked").select("a", "b")
 
@@ -218,12 +237,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = shelf.put(_sized(large.mapInArrow(_paths(depth_from, depth_to, 1, share), "path long, c binary, n long")))
         pairs = pairs.union(_met(labelled(rows.where(F.col("size") <= SMALL)), num, den))
         large = rows.where(F.col("size") > SMALL)
-    if root is not None:
-        pairs = pairs.union(_alike(_mixed(labelled(large)).join(classes.select("c", "sig"), "c"), num / den))
     pairs = shelf.put(pairs.groupBy("a", "b").agg(F.count("*").alias("times")))
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
     link(first)
     link(apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti")))
+    # what is left of the nodes that are large at the last depth
+    left = shelf.put(_mixed(labelled(large.select("path", "c", "n"))))
+    if not left.isEmpty():
+        groups = components(left.select(F.col("c").alias("a"), "path").join(left.groupBy("path").agg(F.min("c").alias("b")), "path"), shelf)
+        members = shelf.put(left.select("c", "n", "label").distinct().join(groups.withColumnRenamed("root", "g"), "c"))
+        sets = shelf.put(texts_of(members.select("c")).mapInArrow(_sets(k), "c binary, set binary"))
+        link(_exact(members, sets, num, den))
     named = shelf.put(classes.select("c", "id").join(root, "c", "left").withColumn("root", F.coalesce("root", "c")))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     found = named.join(least, "root").select("c", "component_id")
@@ -264,30 +288,69 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("path").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("path"), "path", "left_semi")
 
 
-def _alike(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) from nodes that are large at the last depth: each class outside of a node's main label with those
-    that agree with it most in their minwise tokens.  Nodes are cut into blocks, so none is in one task."""
-    labels = rows.groupBy("path", "label").agg(F.count("*").alias("k"))
-    main = labels.groupBy("path").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = rows.select("path", F.pmod(F.xxhash64("c", "path"), F.col("blocks")).cast("int").alias("s"), "c", "label", "sig")
-    strays = rows.join(main, "path").where("label <> main").select("path", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"), "c", "label", "sig").toDF("p", "t", "a", "own", "asig")
-
-    def compare(strays: pa.Table, members: pa.Table) -> pa.Table:
-        x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), dtype=np.uint32).reshape(-1, SIZE) for t, i in ((strays, "asig"), (members, "sig")))
-        c, label = members.column("c").to_pylist(), members.column("label").to_pylist()
-        names = {v: i for i, v in enumerate(set(label) | set(strays.column("own").to_pylist()))}
-        label = np.array([names[v] for v in label], dtype=np.int64)
-        out = set()
-        for i, (a, own) in enumerate(zip(strays.column("a").to_pylist(), strays.column("own").to_pylist(), strict=True)):
-            same = np.where(label == names[own], 0, (y == x[i]).sum(axis=1)) if len(y) else np.zeros(0)
-            best = np.argsort(-same, kind="stable")[:PARTNERS]
-            # three standard deviations of the estimate below the threshold
-            out.update((min(a, c[j]), max(a, c[j])) for j in best.tolist() if same[j] >= SIZE * least - 3 * (SIZE * least * (1 - least)) ** 0.5)
-        a, b = zip(*sorted(out), strict=True) if out else ((), ())
+def _exact(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what is linked among the rows (g, c, n, label) of each group g: every class outside of
+    the group's main label is compared with all the group's classes of other labels.  Both sides are cut into blocks
+    of about MASS shingles, so no group is in one task; a block gives no more links than connect its labels."""
+    labels = members.groupBy("g", "label").agg(F.count("*").alias("k"), F.sum("n").alias("mass"))
+    most = F.max(F.struct("k", "label"))["label"]
+    total = labels.groupBy("g").agg(most.alias("main"), F.sum("mass").alias("mass"), F.max_by("mass", F.struct("k", "label")).alias("in_main"))
+    total = total.select("g", "main", F.ceil(F.col("mass") / MASS).cast("int").alias("ts"), F.ceil((F.col("mass") - F.col("in_main")) / MASS).cast("int").alias("ss"))
+    rows = members.join(total, "g").join(sets, "c")
+
+    def dealt(rows: DataFrame, own: str, blocks: str, other: str, others: str) -> DataFrame:
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("c"), F.col(blocks)).cast("int"))
+        return rows.select("g", F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other), own, "c", "label", "set")
+
+    strays = dealt(rows.where("label <> main"), "s", "ss", "t", "ts").toDF("ga", "ta", "sa", "a", "own", "aset")
+    others = dealt(rows, "t", "ts", "s", "ss")
+
+    def compare(strays: pa.Table, others: pa.Table) -> pa.Table:
+        a, b = linked_across(*(t.column(i).to_pylist() for t in (strays, others) for i in (3, 4, 5)), num, den)
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return strays.groupBy("p", "t").cogroup(members.groupBy("path", "s")).applyInArrow(compare, "a binary, b binary")
+    return strays.groupBy("ga", "sa", "ta").cogroup(others.groupBy("g", "s", "t")).applyInArrow(compare, "a binary, b binary")
+
+
+def linked_across(a: list, a_label: list, a_set: list, b: list, b_label: list, b_set: list, num: int, den: int) -> tuple[list, list]:
+    """Links between two lists of classes, enough to connect all labels that their links connect.
+
+    A linked class shares one at least of the rarest (1 - num / den) of a class's shingles and one more; those that
+    do, and whose labels are not connected yet, have their intersections counted in full."""
+    out: tuple[list, list] = ([], [])
+    if not a or not b:
+        return out
+    numbers = {v: i for i, v in enumerate({*a_label, *b_label})}
+    own, label = (np.array([numbers[v] for v in x]) for x in (a_label, b_label))
+    group = np.arange(len(numbers))
+    y = np.frombuffer(b"".join(b_set), dtype=_U)
+    n = np.array([len(v) // 8 for v in b_set])
+    order = np.argsort(y, kind="stable")
+    y, owner = y[order], np.repeat(np.arange(len(b)), n)[order]
+
+    def owners(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return owner[np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())]
+
+    for i, x in enumerate(a_set):
+        x = np.frombuffer(x, dtype=_U)
+        maybe = (group[label] != group[own[i]]) & (n * den >= len(x) * num) & (len(x) * den >= n * num)
+        if not maybe.any():
+            continue
+        start = np.searchsorted(y, x, "left")
+        many = np.searchsorted(y, x, "right") - start
+        rare = np.argsort(many, kind="stable")[: len(x) + num * len(x) // -den + 1]
+        met = np.zeros(len(b), dtype=bool)
+        met[owners(start[rare], many[rare])] = True
+        maybe &= met
+        if not maybe.any():
+            continue
+        both = np.bincount(owners(start, many), minlength=len(b))
+        for j in np.flatnonzero(maybe & (den * both >= num * (len(x) + n - both))).tolist():
+            if group[label[j]] != group[own[i]]:
+                group[group == group[label[j]]] = group[own[i]]
+                out[0].append(min(a[i], b[j]))
+                out[1].append(max(a[i], b[j]))
+    return out
 
 
 def _met(rows: DataFrame, num: int, den: int) -> DataFrame:
