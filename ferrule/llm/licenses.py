@@ -3,8 +3,9 @@
 A text is cut into sentences and these are normalised: A-Z to lower case, all else but letters and digits to blanks.
 A normalised sentence that is known has an identifier, and a text is then the sequence of its identifiers.  A rule is
 an ordered sequence of identifiers; it holds where the text's sequence has it in one piece, sentences that are not
-known apart.  Sentences end at full stops, question and exclamation marks before white space, and are taken twice:
-with a line's end as an end too, and with wrapped lines joined.  A rule may hold in either sequence.
+known apart.  Sentences end at full stops, colons, question and exclamation marks before white space, but not at the colon
+within a known sentence, and are taken twice: with a line's end as an end too, and with wrapped lines joined up to a
+blank line, a heading, a copyright line or an address at a line's end.  A rule may hold in either sequence.
 
 All of it is built-in expressions over each row alone; only texts with one of the ANCHORS, of which every known
 sentence has one, are cut into sentences.
@@ -78,7 +79,19 @@ RULES = (
     ("CC0-1.0", ("cc0-1",)),
     ("all-rights-reserved", ("reserved",)),
 )
-ANCHORS = "licen[sc]|copyright|rights reserved|redistribution|warrant|free software|unencumbered software|copy of the mpl|permission"
+ANCHORS = "licen[sc]|copyright|rights reserved|redistribution|warrant|free software|unencumbered software|copy of the mpl|permission".replace(" ", r"[\s#*;/-]+")
+#: What ends a sentence, before white space.
+STOPS = r"([.!?]|:(?![\s#*;/-]+(?i:you[\s#*;/-]+can[\s#*;/-]+redistribute)))[ \t\n\r]+"
+#: The address in the middle of an Apache notice, which has no stop behind it.
+ADDRESS = r"(?i)(https?://[^\s]+)[\s#*;/-]+(?=unless[\s#*;/-]+required)"
+_MARK = r"(?:[ \t]|[#*;]|//|--)*"
+#: Lines that stand for themselves where wrapped lines are joined, and blank ones but for those before an address.
+ALONE = (
+    rf"(?im)^({_MARK}(?:copyright[ \t]+(?:\([c©]\)|©|[0-9])|©|\(c\)[ \t]).*)$",
+    rf"(?im)^({_MARK}(?:the[ \t]+)?(?:mit|isc|apache|(?:[23]-clause[ \t]+)?bsd(?:[ \t]+[23]-clause)?)[ \t]+licen[sc]e(?:,?[ \t]+version[ \t]+[0-9.]+)?(?:[ \t]*\([^)\n]*\))?[ \t]*)$",
+    r"(?im)(https?://[^\s]+[ \t]*)$",
+)
+BLANK = rf"(\r?\n){_MARK}\r?\n(?!(?:[ \t\r\n]|[#*;]|//|--)*https?://)"
 #: The longer rule of each pair takes the place of the shorter where both hold.
 WIDER = {"BSD-2-Clause": "BSD-3-Clause"}
 
@@ -92,7 +105,12 @@ KNOWN = {normal(s): i for i, s in SENTENCES.items()}
 
 def _sequence(text: Column, end: str) -> Column:
     """The identifiers of the known sentences, in order; sentences end at ``end``."""
-    cut = F.split(F.regexp_replace(F.regexp_replace(text, end, "\n"), r"([.!?:])[ \t\n\r]+", "$1\u0000"), "\u0000" if end == "(?!)" else "[\u0000\n]")
+    text = F.regexp_replace(text, ADDRESS, "$1\u0000")
+    if end == "(?!)":
+        for line in ALONE:
+            text = F.regexp_replace(text, line, "$1\u0000")
+        text = F.regexp_replace(text, BLANK, "\u0000\n")
+    cut = F.split(F.regexp_replace(F.regexp_replace(text, end, "\n"), STOPS, "$1\u0000"), "\u0000" if end == "(?!)" else "[\u0000\n]")
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     ids = F.transform(cut, lambda s: F.element_at(known, F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))))
     return F.filter(ids, lambda i: i.isNotNull())
