@@ -1,174 +1,269 @@
 """Near-duplicate classes by a chosen-path set similarity join over minwise tokens.
 
 A text's set is its distinct k-word shingles.  Texts with equal sets are one class, found by a 128-bit key, and
-only classes go on.  In each of TREES independent trees a class walks down chosen paths: at a node, a hash of the
-path chooses one of the SIZE minwise positions, and in a share of the nodes a second one; a class goes on to the
-child named by its token there.  Two classes of similarity s share a child with probability s for each position,
-so at the threshold as many shared nodes are expected at any depth.  Nodes of up to SMALL classes are compared
-exhaustively; larger ones go on to the next depth.
-
-Only what is connected is asked for, so a pair that is connected already need not be compared.  Classes in nodes of
-more than LED are first compared with the nodes' leaders, a few times with other leaders each time.  A node whose
-classes are all connected by then is done; others of more than SMALL go down further.  Of the pairs met in small nodes,
-first each class's most frequent partner is confirmed, then all pairs that are not connected by then.  Nodes that are
-still large at the last depth and not connected by then are joined where they share classes, and in each such group
-every class that is not with the most is compared with all others, exactly and on full sets, in blocks of both sides.
-Every link is confirmed on full sets.
-
-At similarity 0.8 a tree of depth 4 keeps a pair together with probability 0.57.  Were the trees independent, 16 would
-miss about one pair in a million at the threshold itself; but all trees draw from the same SIZE minwise tokens, so a
-pair that agrees in few of these by chance is missed more often, and more so at depths 8 and 12.
+only classes, numbered by longs, go on.  In each of TREES independent trees, which draw from minwise tokens of their
+own, a class walks down chosen paths: at a node, a hash of the path chooses one of the tree's POOL minwise positions,
+and in a share of the nodes a second one; a class goes on to the child named by its token there.  Two classes of
+similarity s share a child with probability s for each position, so at the threshold as many shared nodes are
+expected at any depth.  A tree of depth 4 keeps a pair of similarity 0.8 together with probability 0.57; 16
+independent ones miss about one pair in a million there, and fewer above.
+
+Only what is connected is asked for, so a pair that is connected already need not be compared.  First each class is
+compared with the leader that most of its nodes share; then, some rounds, the classes outside the label that holds
+most of a large node with a leader of that label.  Of the nodes that still hold several labels,
+
+- one of up to SMALL classes is compared exhaustively;
+- in a larger one with a label that holds most of it, each stray, a class of another label, is compared with all
+  classes of that label, and the strays are compared with each other;
+- in any other, and where there are more than SMALL strays, those go down to the next depth in DEPTHS.  What is still
+  large at the last one is joined where nodes share classes, and each such group is compared exhaustively.
+
+All comparisons are exact, on full sets, with no limit to partners.  They are done in tiles: two lists of up to ROWS
+classes and about MASS shingles each, so that no group is in one task.  A tile gives links enough to connect what its
+links connect.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
 from .shelf import Shelf, bounded_batches
 
-SIZE = 64
 TREES = 16
+#: Minwise tokens that a tree chooses from.
+POOL = 16
 DEPTHS = (4, 8, 12)
 #: Most classes in a node that is compared exhaustively.
-SMALL = 48
-#: Nodes with more classes than this are compared with leaders before.
-LED = 8
-#: Shingles in a block of what is left in large nodes at the last depth.
-MASS = 1_000_000
-#: Rounds in which the classes of large nodes are compared with leaders.
+SMALL = 32
+#: Rounds in which classes of large nodes are compared with leaders.
 LEADERS = 3
+#: Classes and shingles on a side of a tile, about.
+ROWS = 512
+MASS = 1_000_000
+#: Floats in a matrix at once.
+CELLS = 4_000_000
 _U = np.uint64
-_MULTIPLY = W.mix(np.arange(1, SIZE + 1, dtype=_U)) | _U(1)
+_TREE = _U(TREES - 1)
+_MULTIPLY = (W.mix(np.arange(1, TREES * POOL + 1, dtype=_U)) | _U(1)).astype(np.uint32)
 
 
-def _keys(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """128 bits for each set, as bytes: two sums of scrambled members, the second with the size."""
+def _keys(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set: two sums of scrambled members, the second with the size."""
     with np.errstate(over="ignore"):
         sums = [np.concatenate((np.zeros(1, _U), np.cumsum(W.mix(x + _U(i))))) for i in (11, 77)]
         a, b = (s[at[1:]] - s[at[:-1]] for s in sums)
         b = b + W.mix(np.diff(at).astype(_U))
-    return np.ascontiguousarray(np.stack((a, b), axis=1)).view("V16").ravel()
+    return a.view(np.int64), b.view(np.int64)
 
 
-def _fixed(x: np.ndarray, width: int, mask: np.ndarray | None = None) -> pa.Array:
-    at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width)
-    out = pa.Array.from_buffers(pa.binary(), len(x), [None, at.buffers()[1], pa.py_buffer(np.ascontiguousarray(x).tobytes())])
-    return out if mask is None else pa.compute.if_else(pa.array(~mask), out, pa.scalar(None, pa.binary()))
+def _fixed(x: np.ndarray) -> pa.Array:
+    """Each row of the matrix as bytes."""
+    at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, at.buffers()[1], pa.py_buffer(np.ascontiguousarray(x).tobytes())])
 
 
 def signatures(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The smallest of SIZE different hashes of each set, as 32-bit numbers; sets without members have the largest."""
-    out = np.full((len(at) - 1, SIZE), 0xFFFFFFFF, dtype=np.uint32)
+    """16 bits of the smallest of TREES * POOL different hashes of each set; sets without members have the largest."""
+    out = np.full((len(at) - 1, TREES * POOL), 0xFFFF, dtype=np.uint16)
     has = np.diff(at) > 0
     if has.any():
-        y = (x >> _U(32)).astype(np.uint32) ^ x.astype(np.uint32)
         start = at[:-1][has]
+        low, high = x.astype(np.uint32), (x >> _U(32)).astype(np.uint32)
+        z = np.empty_like(low)
+        found = np.empty((len(start), TREES * POOL), dtype=np.uint16)
         with np.errstate(over="ignore"):
-            for i, m in enumerate(_MULTIPLY.astype(np.uint32) | np.uint32(1)):
-                z = y * m
-                z ^= z >> np.uint32(15)
-                z *= np.uint32(0x2C1B3C6D)
-                out[has, i] = np.minimum.reduceat(z, start)
+            for i, m in enumerate(_MULTIPLY):
+                np.multiply(high, m, out=z)
+                z += low
+                found[:, i] = np.minimum.reduceat(z, start).astype(np.uint16)
+        out[has] = found
     return out
 
 
-def _profiles(id_col: str, text_col: str, k: int):
+def _profiles(k: int):
+    """Rows (id, rk, n, k1, k2, sig) of rows (id, text, rk)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for a, b in W.blocks(texts):
-                x, at = W.shingles(*W.words(texts.slice(a, b - a)), k)
-                n = np.diff(at)
-                empty = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(n.astype(np.int64)), _fixed(_keys(x, at), 16, empty), _fixed(signatures(x, at), 4 * SIZE, empty)],
-                    names=["id", "n", "c", "sig"],
-                )
+            for a, b in W.blocks(batch.column(1)):
+                x, at = W.shingles(*W.words(batch.column(1).slice(a, b - a)), k)
+                k1, k2 = _keys(x, at)
+                columns = [*(batch.column(i).slice(a, b - a) for i in (0, 2)), pa.array(np.diff(at).astype(np.int64)), pa.array(k1), pa.array(k2), _fixed(signatures(x, at))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "rk", "n", "k1", "k2", "sig"])
 
     return run
 
 
-def _paths(depth_from: int, depth_to: int, seed: int, share: float):
-    """Rows (path, c, n) of each class at the depth, over all trees or from the given paths on."""
+def _paths(steps: int, share: float):
+    """Rows (path, c, n) of rows (c, n, sig), from the trees' roots on, or of rows (c, n, sig, path), from there on."""
     second = _U(int(share * 2**64))
 
     def step(path: np.ndarray, row: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = W.mix(path + _U(0x51ED))
-        i = (h >> _U(32)) % _U(SIZE)
+        i = (h >> _U(32)) % _U(POOL)
         more = np.flatnonzero(W.mix(path + _U(0xBEEF)) < second)
-        j = (i[more] + _U(1) + (h[more] & _U(0xFFFF)) % _U(SIZE - 1)) % _U(SIZE)  # never the same position
+        j = (i[more] + _U(1) + (h[more] & _U(0xFFFF)) % _U(POOL - 1)) % _U(POOL)  # never the same position
         path, row, at = np.concatenate((path, path[more])), np.concatenate((row, row[more])), np.concatenate((i, j))
-        return W.mix(path ^ W.mix(sig[row, at.astype(np.int64)].astype(_U) << _U(8) | at)), row
+        tree = path & _TREE
+        token = sig[row, (tree * _U(POOL) + at).astype(np.int64)].astype(_U)
+        return W.mix(path ^ W.mix(token << _U(8) | at)) & ~_TREE | tree, row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                c, n = part.column(0), part.column(1)
-                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint32).reshape(-1, SIZE)
+                c, n = part.column(0).to_numpy(), part.column(1).to_numpy()
+                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint16).reshape(len(c), -1)
                 with np.errstate(over="ignore"):
-                    if depth_from:
-                        path = part.column(3).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
-                        row = np.arange(len(c))
+                    if part.num_columns > 3:
+                        path, row = part.column(3).to_numpy().astype(np.int64).view(_U), np.arange(len(c))
                     else:
-                        path = np.repeat(W.mix(np.arange(1, TREES + 1, dtype=_U) + _U(seed * 1000)), len(c))
-                        row = np.tile(np.arange(len(c)), TREES)
-                    for _ in range(depth_from, depth_to):
+                        path, row = np.repeat(np.arange(TREES, dtype=_U), len(c)), np.tile(np.arange(len(c)), TREES)
+                    for _ in range(steps):
                         path, row = step(path, row, sig)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), c.take(pa.array(row)), n.take(pa.array(row))], names=["path", "c", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(c[row]), pa.array(n[row])], names=["path", "c", "n"])
 
     return run
 
 
-def _confirm(k: int, num: int, den: int):
-    """Of rows (a, b, ta, tb), the pairs with den * intersection >= num * union of the full sets."""
+def _sets(k: int):
+    """Rows (c, set) of rows (c, text, k1, k2), for the texts that have the key: their full sets as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e in W.blocks(batch.column(2)):
+            for s, e in W.blocks(batch.column(1)):
                 part = batch.slice(s, e - s)
-                (x, xa), (y, ya) = (W.shingles(*W.words(part.column(i)), k) for i in (2, 3))
-                keep = []
-                for i in range(len(part)):
-                    p, q = x[xa[i] : xa[i + 1]], y[ya[i] : ya[i + 1]]
-                    if len(p) > len(q):
-                        p, q = q, p
-                    at = np.searchsorted(q, p)
-                    both = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(p) else 0
-                    keep.append(both > 0 and den * both >= num * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keep)], names=["a", "b", "linked"])
+                x, at = W.shingles(*W.words(part.column(1)), k)
+                k1, k2 = _keys(x, at)
+                same = (part.column(2).to_numpy() == k1) & (part.column(3).to_numpy() == k2)
+                sets = pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["c", "set"]).filter(pa.array(same))
 
     return run
 
 
-def _with_key(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, e in W.blocks(batch.column(1)):
-                part = batch.slice(s, e - s)
-                key = _fixed(_keys(*W.shingles(*W.words(part.column(1)), k)), 16)
-                same = pa.compute.equal(key, part.column(0))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["c", "text"]).filter(same)
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The number of members that each set of x shares with each of y; a set's members are different numbers."""
+    m, n = len(x), len(y)
+    a, ao = np.concatenate(x), np.repeat(np.arange(m), [len(s) for s in x])
+    b, bo = np.concatenate(y), np.repeat(np.arange(n), [len(s) for s in y])
+    vocabulary, ac = np.unique(a, return_inverse=True)
+    bc = np.searchsorted(vocabulary, b)
+    bc[bc == len(vocabulary)] = 0
+    there = vocabulary[bc] == b
+    bc, bo = bc[there], bo[there]
+    fb = np.bincount(bc, minlength=len(vocabulary))
+    there = fb[ac] > 0
+    ac, ao = ac[there], ao[there]
+    fa = np.bincount(ac, minlength=len(vocabulary))
+    out = np.zeros((m, n), dtype=np.float32)
+    # members that many hold, by products of 0-1 matrices; a matrix product does this many in the time of one of the rest
+    dense = fa * fb * 256 >= m * n
+    number = np.cumsum(dense) - 1
+    da, db = dense[ac], dense[bc]
+    (ca, oa), (cb, ob) = (number[ac[da]], ao[da]), (number[bc[db]], bo[db])
+    sa, sb = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
+    ca, oa, cb, ob = ca[sa], oa[sa], cb[sb], ob[sb]
+    width = max(64, CELLS // (m + n))
+    for lo in range(0, int(dense.sum()), width):
+        (i, j), (p, q) = np.searchsorted(ca, (lo, lo + width)), np.searchsorted(cb, (lo, lo + width))
+        left, right = np.zeros((m, width), np.float32), np.zeros((n, width), np.float32)
+        left[oa[i:j], ca[i:j] - lo] = 1
+        right[ob[p:q], cb[p:q] - lo] = 1
+        out += left @ right.T
+    # the rest, by listing who shares them
+    ca, oa, cb, ob = ac[~da], ao[~da], bc[~db], bo[~db]
+    if len(ca):
+        sb = np.argsort(cb, kind="stable")
+        cb, ob = cb[sb], ob[sb]
+        start, many = np.searchsorted(cb, ca), fb[ca]
+        cut = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + CELLS, CELLS))
+        for lo, hi in zip(cut, [*cut[1:], len(ca)], strict=True):
+            s, k = start[lo:hi], many[lo:hi]
+            other = ob[np.repeat(s - np.cumsum(k) + k, k) + np.arange(k.sum())]
+            out += np.bincount(np.repeat(oa[lo:hi], k) * n + other, minlength=m * n).reshape(m, n).astype(np.float32)
+    return out
 
-    return run
 
+def linked_across(a: list, a_label: list, a_set: list, b: list, b_label: list, b_set: list, num: int, den: int) -> tuple[list, list]:
+    """Links between two lists of classes, enough to connect all labels that their links connect."""
+    out: tuple[list, list] = ([], [])
+    if not len(a) or not len(b):
+        return out
+    labels, number = np.unique(np.array([*a_label, *b_label]), return_inverse=True)
+    la, lb = number[: len(a)], number[len(a) :]
+    x, y = ([np.frombuffer(s, dtype=_U) for s in sets] for sets in (a_set, b_set))
+    p, q = (np.array([len(s) for s in sets], dtype=np.int64) for sets in (x, y))
+    fits = (la[:, None] != lb) & (p[:, None] * den >= q * num) & (q * den >= p[:, None] * num) & (p[:, None] > 0)
+    rows, columns = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+    if not len(rows):
+        return out
+    both = intersections([x[i] for i in rows], [y[j] for j in columns]).astype(np.int64)
+    i, j = np.nonzero((den * both >= num * (p[rows][:, None] + q[columns] - both)) & fits[np.ix_(rows, columns)])
+    if not len(i):
+        return out
+    i, j = rows[i], columns[j]
+    # a forest over the labels that are linked
+    some, near = np.unique(np.concatenate((la[i], lb[j])), return_inverse=True)
+    u, v = near[: len(i)], near[len(i) :]
+    link = np.full((len(some), len(some)), -1, dtype=np.int64)
+    link[u, v] = link[v, u] = np.arange(len(i))
+    new = np.ones(len(some), dtype=bool)
+    for s in range(len(some)):
+        todo = [s] if new[s] else []
+        new[s] = False
+        while todo:
+            r = todo.pop()
+            for t in np.flatnonzero(new & (link[r] >= 0)).tolist():
+                new[t] = False
+                todo.append(t)
+                e = link[r, t]
+                out[0].append(min(a[i[e]], b[j[e]]))
+                out[1].append(max(a[i[e]], b[j[e]]))
+    return out
 
-def _sets(k: int):
-    """Of rows (c, text), the full sets as bytes."""
+
+def _compare(num: int, den: int):
+    """Links (a, b) of rows (tile, side, c, label, set) in order of tiles: of sides 1 and 2 of a tile, or, where all
+    are on side 0, of all with all."""
+
+    def tile(parts: list[tuple]) -> tuple[list, list]:
+        side, c, label = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        sets = [s for p in parts for s in p[3]]
+        first, second = (np.flatnonzero(side != 2), np.flatnonzero(side != 1))
+        return linked_across(*(v for at in (first, second) for v in (c[at], label[at], [sets[i] for i in at])), num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
         for batch in batches:
-            for s, e in W.blocks(batch.column(1)):
-                x, at = W.shingles(*W.words(batch.column(1).slice(s, e - s)), k)
-                sets = [x[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(sets, pa.binary())], names=["c", "set"])
+            if not batch.num_rows:
+                continue
+            t, side, c, label = (batch.column(i).to_numpy() for i in range(4))
+            sets = batch.column(4)
+            at = np.frombuffer(sets.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(sets.type) else np.int32)[sets.offset : sets.offset + len(sets) + 1]
+            data = sets.buffers()[2]
+            sets = [np.frombuffer(data, dtype=_U, count=(e - s) // 8, offset=s) if e > s else np.empty(0, _U) for s, e in zip(at.tolist(), at[1:].tolist(), strict=False)]
+            out: tuple[list, list] = ([], [])
+            cuts = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if held and now != t[s]:
+                    for o, f in zip(out, tile(held), strict=True):
+                        o += f
+                    held = []
+                held.append((side[s:e], c[s:e], label[s:e], sets[s:e]))
+                now = t[s]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+        if held:
+            a, b = tile(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -185,74 +280,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(spark)
     shelf = Shelf(spark, "near")
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles = shelf.put(source.mapInArrow(_profiles("id", "text", k), f"id {kind}, n long, c binary, sig binary"))
-    classes = shelf.put(profiles.where("c is not null").groupBy("c").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")))
-    share = den / num - 1
-
-    def texts_of(need: DataFrame) -> DataFrame:
-        """Rows (c, text) of the classes, each once."""
-        need = need.join(classes.select("c", "id"), "c")
-        texts = source.withColumnRenamed("id", "i").join(need, F.col("i").eqNullSafe(F.col("id"))).select("c", "text")
-        return texts.mapInArrow(_with_key(k), "c binary, text string").dropDuplicates(["c"])
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked."""
-        texts = texts_of(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b"))).distinct())
-        two = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-        return two.mapInArrow(_confirm(k, num, den), "a binary, b binary, linked boolean").where("linked").select("a", "b")
-
-    links = root = None
-
-    def link(pairs: DataFrame) -> None:
-        """Confirms the pairs; root then says which classes are connected so far."""
-        nonlocal links, root
-        new = shelf.put(confirmed(shelf.put(pairs)))
-        links = new if links is None else links.union(new)
-        root = shelf.put(components(links, shelf))
-
-    def labelled(rows: DataFrame, name: str = "c") -> DataFrame:
-        if root is None:
-            return rows.withColumn("label", F.col(name))
-        return rows.join(root.toDF(name, "label"), name, "left").withColumn("label", F.coalesce("label", name))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs that are not connected so far."""
-        return labelled(labelled(pairs, "a").withColumnRenamed("label", "la"), "b").where("la <> label").drop("la", "label")
-
-    # the nodes that are not quite small at the first depth: their classes are compared with leaders
-    rows = shelf.put(_sized(classes.select("c", "n", "sig").mapInArrow(_paths(0, DEPTHS[0], 1, share), "path long, c binary, n long")))
-    many = rows.where(F.col("size") > LED)
-    if not many.isEmpty():
-        for i in range(LEADERS):
-            led = _led(many, i) if root is None else apart(_led(many, i))
-            link(led.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))
-    # the pairs met in small nodes, and in those that large nodes come to deeper in the trees
-    pairs = _met(labelled(rows.where(F.col("size") <= SMALL)), num, den)
-    large = rows.where(F.col("size") > SMALL)
-    for depth_from, depth_to in zip(DEPTHS, DEPTHS[1:], strict=False):
-        if root is None:
-            break
-        large = _mixed(labelled(large.select("path", "c", "n"))).join(classes.select("c", "sig"), "c").select("c", "n", "sig", "path")
-        rows = shelf.put(_sized(large.mapInArrow(_paths(depth_from, depth_to, 1, share), "path long, c binary, n long")))
-        pairs = pairs.union(_met(labelled(rows.where(F.col("size") <= SMALL)), num, den))
-        large = rows.where(F.col("size") > SMALL)
-    pairs = shelf.put(pairs.groupBy("a", "b").agg(F.count("*").alias("times")))
-    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
-    link(first)
-    link(apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti")))
-    # what is left of the nodes that are large at the last depth
-    left = shelf.put(_mixed(labelled(large.select("path", "c", "n"))))
-    if not left.isEmpty():
-        groups = components(left.select(F.col("c").alias("a"), "path").join(left.groupBy("path").agg(F.min("c").alias("b")), "path"), shelf)
-        members = shelf.put(left.select("c", "n", "label").distinct().join(groups.withColumnRenamed("root", "g"), "c"))
-        sets = shelf.put(texts_of(members.select("c")).mapInArrow(_sets(k), "c binary, set binary"))
-        link(_exact(members, sets, num, den))
-    named = shelf.put(classes.select("c", "id").join(root, "c", "left").withColumn("root", F.coalesce("root", "c")))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    found = named.join(least, "root").select("c", "component_id")
-    out = profiles.select("id", "n", "c").join(found, "c", "left")
-    component = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("rk", F.xxhash64("id", "text"))
+    profiles = source.mapInArrow(_profiles(k), f"id {kind}, rk long, n long, k1 long, k2 long, sig binary")
+    profiles = shelf.put(profiles.withColumn("c", F.monotonically_increasing_id()))
+    first = profiles.where("n > 0").groupBy("k1", "k2").agg(F.min("c").alias("c"), F.min("id").alias("least"))
+    classes = shelf.put(profiles.drop("id").join(first.select("c", F.col("least").alias("id")), "c"))
+    root = _connected(classes, source, shelf, k, num, den)
+    named = classes.select("c", "id", "k1", "k2")
+    named = (named if root is None else named.join(root, "c", "left").withColumn("c", F.coalesce("root", "c"))).select("c", "id", "k1", "k2")
+    found = named.join(named.groupBy("c").agg(F.min("id").alias("component_id")), "c").select("k1", "k2", "component_id")
+    found = shelf.put(found)
+    shelf.drop(classes)
+    out = profiles.select("id", "n", "k1", "k2").join(found, ["k1", "k2"], "left")
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -271,93 +311,133 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.join(kept.where(~F.col("__kept")).select(id_col), id_col, "left_anti").select(*docs.columns)
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Rows (path, c, n) of nodes with two classes or more, with the node's size."""
-    return rows.join(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "path")
-
-
-def _led(rows: DataFrame, i: int) -> DataFrame:
-    """Pairs (a, b, times) of a node's leader and another class in it; leaders are the least by the i-th hash."""
-    leader = rows.groupBy("path").agg(F.min(F.struct(F.xxhash64(F.lit(i), "c"), "c"))["c"].alias("a"))
-    pairs = rows.select("path", F.col("c").alias("b")).join(leader, "path").where("a <> b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("times"))
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of nodes in which more than one label is left."""
-    return rows.join(rows.groupBy("path").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("path"), "path", "left_semi")
-
+def _connected(classes: DataFrame, source: DataFrame, shelf: Shelf, k: int, num: int, den: int) -> DataFrame | None:
+    """``c, root`` of the classes that are linked with another; None if no class shares a node with another."""
+    share, links, root = den / num - 1, [], None
+
+    def walked(rows: DataFrame, steps: int) -> DataFrame:
+        return rows.mapInArrow(_paths(steps, share), "path long, c long, n long")
+
+    nodes = walked(classes.select("c", "n", "sig"), DEPTHS[0])
+    shared = nodes.groupBy("path").agg(F.count("*").alias("size"), F.min("c").alias("lead")).where("size > 1")
+    nodes = shelf.put(nodes.join(shared, "path"))
+    if nodes.isEmpty():
+        return None
+    need = nodes.select("c").distinct().join(classes.select("c", "rk", "k1", "k2"), "c")
+    texts = source.select("rk", "text").join(need, "rk").select("c", "text", "k1", "k2").dropDuplicates(["c"])
+    sets = shelf.put(texts.mapInArrow(_sets(k), "c long, set binary"))
+
+    def compare(tiles: DataFrame) -> None:
+        """Adds the links found in rows (tile, side, c, label); root then says what is connected so far."""
+        nonlocal root
+        rows = tiles.join(sets, "c").select("tile", "side", "c", "label", "set").repartition("tile").sortWithinPartitions("tile")
+        links.append(shelf.put(rows.mapInArrow(_compare(num, den), "a long, b long")))
+        old, root = root, shelf.put(components(reduce(DataFrame.union, links), shelf))
+        if old is not None:
+            shelf.drop(old)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(root.select("c", F.col("root").alias("label")), "c", "left").withColumn("label", F.coalesce("label", "c"))
+
+    # each class with the leader that most of its nodes share
+    compare(_stars(nodes.where("lead <> c").select(F.col("lead").alias("a"), "c", "n", F.col("lead").alias("a_label"), F.col("c").alias("label"))))
+    nodes_of = nodes.select("path", "c", "n")
+    for i in range(1, LEADERS):
+        strays, _, _ = _cut(labelled(nodes_of), i)
+        strays = shelf.put(strays)
+        if strays.isEmpty():
+            break
+        compare(_stars(strays.select(F.col("lead").alias("a"), "c", "n", F.col("main").alias("a_label"), "label")))
+        shelf.drop(strays)
+    strays, others, small = _cut(labelled(nodes_of), 0)
+    strays = shelf.put(strays)
+    tiles = [_exhaustive(small, num, den), _against(strays, root, classes)]
+    large = strays.select("path", "c", "n", "label").union(others)
+    for depth, (above, below) in enumerate(zip(DEPTHS, (*DEPTHS[1:], None), strict=True)):
+        if depth:
+            large = labelled(walked(large.join(classes.select("c", "sig"), "c").select("c", "n", "sig", "path"), above - DEPTHS[depth - 1])).select("path", "c", "n", "label")
+        mixed = large.groupBy("path").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("path", "size")
+        large = shelf.put(large.join(mixed, "path"))
+        tiles.append(_exhaustive(large.where(F.col("size") <= SMALL), num, den))
+        large = large.where(F.col("size") > SMALL).drop("size")
+        if large.isEmpty():
+            break
+    else:
+        ties = large.join(large.groupBy("path").agg(F.min("c").alias("b")), "path").select(F.col("c").alias("a"), "b")
+        groups = components(ties, shelf).withColumnRenamed("root", "g")
+        tiles.append(_all_with_all(large.select("c", "n", "label").distinct().join(groups, "c")))
+    compare(reduce(DataFrame.union, tiles))
+    shelf.drop(nodes, sets, strays)
+    return root
 
-def _exact(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect what is linked among the rows (g, c, n, label) of each group g: every class outside of
-    the group's main label is compared with all the group's classes of other labels.  Both sides are cut into blocks
-    of about MASS shingles, so no group is in one task; a block gives no more links than connect its labels."""
-    labels = members.groupBy("g", "label").agg(F.count("*").alias("k"), F.sum("n").alias("mass"))
-    most = F.max(F.struct("k", "label"))["label"]
-    total = labels.groupBy("g").agg(most.alias("main"), F.sum("mass").alias("mass"), F.max_by("mass", F.struct("k", "label")).alias("in_main"))
-    total = total.select("g", "main", F.ceil(F.col("mass") / MASS).cast("int").alias("ts"), F.ceil((F.col("mass") - F.col("in_main")) / MASS).cast("int").alias("ss"))
-    rows = members.join(total, "g").join(sets, "c")
 
-    def dealt(rows: DataFrame, own: str, blocks: str, other: str, others: str) -> DataFrame:
-        rows = rows.withColumn(own, F.pmod(F.xxhash64("c"), F.col(blocks)).cast("int"))
-        return rows.select("g", F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other), own, "c", "label", "set")
+def _first(value: str, k: str, by: str) -> Column:
+    """The value with the most of k; ties go by a hash."""
+    return F.max_by(value, F.col(k) * F.lit(1 << 40) + F.pmod(F.xxhash64(by), F.lit(1 << 40)))
 
-    strays = dealt(rows.where("label <> main"), "s", "ss", "t", "ts").toDF("ga", "ta", "sa", "a", "own", "aset")
-    others = dealt(rows, "t", "ts", "s", "ss")
 
-    def compare(strays: pa.Table, others: pa.Table) -> pa.Table:
-        a, b = linked_across(*(t.column(i).to_pylist() for t in (strays, others) for i in (3, 4, 5)), num, den)
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+def _blocks(count: Column, mass: Column) -> Column:
+    return F.greatest(F.ceil(count / ROWS), F.ceil(mass / MASS), F.lit(1)).cast("int")
 
-    return strays.groupBy("ga", "sa", "ta").cogroup(others.groupBy("g", "s", "t")).applyInArrow(compare, "a binary, b binary")
 
+def _in_block(c: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), c), F.col(blocks)).cast("int")
 
-def linked_across(a: list, a_label: list, a_set: list, b: list, b_label: list, b_set: list, num: int, den: int) -> tuple[list, list]:
-    """Links between two lists of classes, enough to connect all labels that their links connect.
-
-    A linked class shares one at least of the rarest (1 - num / den) of a class's shingles and one more; those that
-    do, and whose labels are not connected yet, have their intersections counted in full."""
-    out: tuple[list, list] = ([], [])
-    if not a or not b:
-        return out
-    numbers = {v: i for i, v in enumerate({*a_label, *b_label})}
-    own, label = (np.array([numbers[v] for v in x]) for x in (a_label, b_label))
-    group = np.arange(len(numbers))
-    y = np.frombuffer(b"".join(b_set), dtype=_U)
-    n = np.array([len(v) // 8 for v in b_set])
-    order = np.argsort(y, kind="stable")
-    y, owner = y[order], np.repeat(np.arange(len(b)), n)[order]
-
-    def owners(start: np.ndarray, many: np.ndarray) -> np.ndarray:
-        return owner[np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())]
-
-    for i, x in enumerate(a_set):
-        x = np.frombuffer(x, dtype=_U)
-        maybe = (group[label] != group[own[i]]) & (n * den >= len(x) * num) & (len(x) * den >= n * num)
-        if not maybe.any():
-            continue
-        start = np.searchsorted(y, x, "left")
-        many = np.searchsorted(y, x, "right") - start
-        rare = np.argsort(many, kind="stable")[: len(x) + num * len(x) // -den + 1]
-        met = np.zeros(len(b), dtype=bool)
-        met[owners(start[rare], many[rare])] = True
-        maybe &= met
-        if not maybe.any():
-            continue
-        both = np.bincount(owners(start, many), minlength=len(b))
-        for j in np.flatnonzero(maybe & (den * both >= num * (len(x) + n - both))).tolist():
-            if group[label[j]] != group[own[i]]:
-                group[group == group[label[j]]] = group[own[i]]
-                out[0].append(min(a[i], b[j]))
-                out[1].append(max(a[i], b[j]))
-    return out
 
+def _each(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
-def _met(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of the classes in a small node that are not connected and whose sizes allow a link."""
-    members = rows.groupBy("path").agg(F.collect_list(F.struct("c", "n", "label")).alias("m"))
 
-    def fits(y):
-        return (y["c"] > F.col("x.c")) & (y["label"] != F.col("x.label")) & (y["n"] * den >= F.col("x.n") * num) & (F.col("x.n") * den >= y["n"] * num)
-
-    return members.select(F.explode("m").alias("x"), "m").select(F.col("x.c").alias("a"), F.explode(F.filter("m", fits)["c"]).alias("b"))
+def _cut(rows: DataFrame, i: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (path, c, n, label) of nodes with several labels, in three: the strays of large nodes that one label
+    holds most of, with that label and the i-th leader of it; all rows of other large nodes; and of small ones."""
+    turn = F.lit((0x9E3779B97F4A7C15 * i) % (1 << 62))  # another order of the classes for each i
+    by = rows.groupBy("path", "label").agg(F.count("*").alias("k"), F.min(F.col("c").bitwiseXOR(turn)).alias("lead"))
+    most = by.groupBy("path").agg(
+        F.sum("k").alias("size"), F.count("*").alias("labels"), F.max("k").alias("top"), _first("label", "k", "label").alias("main"), _first("lead", "k", "label").alias("lead")
+    )
+    most = most.where("labels > 1").select("path", "size", "main", F.col("lead").bitwiseXOR(turn).alias("lead"), (F.col("top") * 2 > F.col("size")).alias("held"))
+    large = F.col("size") > SMALL
+    strays = rows.join(most.where(large & F.col("held")).withColumnRenamed("path", "p"), (F.col("path") == F.col("p")) & (F.col("label") != F.col("main")))
+    others = rows.join(most.where(large & ~F.col("held")).select("path"), "path")
+    small = rows.join(most.where(~large).select("path", "size"), "path")
+    return strays.select("path", "c", "n", "label", "main", "lead"), others.select("path", "c", "n", "label"), small
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Tiles of rows (a, c, n, a_label, label), one a node: each class c with the leader a that most of its rows have."""
+    times = rows.groupBy("a", "c", "n", "a_label", "label").agg(F.count("*").alias("times"))
+    best = times.groupBy("c", "n", "label").agg(_first("a", "times", "a").alias("a"), _first("a_label", "times", "a").alias("a_label"))
+    blocks = best.groupBy("a").agg(_blocks(F.count("*"), F.sum("n")).alias("k"))
+    tiled = best.join(blocks, "a").withColumn("tile", F.xxhash64(F.lit(1), "a", _in_block("c", "k")))
+    leaders = tiled.select("tile", F.lit(1).alias("side"), F.col("a").alias("c"), F.col("a_label").alias("label")).distinct()
+    return leaders.union(tiled.select("tile", F.lit(2), "c", "label"))
+
+
+def _exhaustive(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """A tile for each node of rows (path, c, n, label, size), and one for nodes with the same classes; two classes
+    whose sizes rule out a link need none."""
+    tiles = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("c", "n", "label"))).alias("m"))
+    tiles = tiles.select(F.xxhash64(F.lit(2), "m.c").alias("tile"), "m").dropDuplicates(["tile"])
+    a, b = F.element_at("m", 1)["n"], F.element_at("m", -1)["n"]
+    tiles = tiles.where((F.size("m") > 2) | ((a * den >= b * num) & (b * den >= a * num)))
+    return tiles.select("tile", F.explode("m").alias("m")).select("tile", F.lit(0).alias("side"), "m.c", "m.label")
+
+
+def _against(strays: DataFrame, root: DataFrame, classes: DataFrame) -> DataFrame:
+    """Tiles of each stray with all classes of the label that holds most of its node."""
+    strays = strays.select("main", "c", "n", "label").distinct()
+    cut = strays.groupBy("main").agg(_blocks(F.count("*"), F.sum("n")).alias("ks"))
+    members = root.join(cut, F.col("root") == F.col("main")).select("main", "ks", "c").join(classes.select("c", "n"), "c")
+    cut = members.groupBy("main", "ks").agg(_blocks(F.count("*"), F.sum("n")).alias("km"))
+    members = members.select("main", "c").join(cut, "main").select("main", _in_block("c", "km").alias("j"), _each("ks").alias("i"), F.lit(2).alias("side"), "c", F.col("main").alias("label"))
+    strays = strays.join(cut, "main").select("main", _each("km").alias("j"), _in_block("c", "ks").alias("i"), F.lit(1).alias("side"), "c", "label")
+    return strays.union(members).select(F.xxhash64(F.lit(4), "main", "i", "j").alias("tile"), "side", "c", "label")
+
+
+def _all_with_all(rows: DataFrame) -> DataFrame:
+    """Tiles of all pairs of blocks of each group of rows (g, c, n, label)."""
+    cut = rows.groupBy("g").agg(_blocks(F.count("*"), F.sum("n")).alias("k"))
+    rows = rows.join(cut, "g").select("g", "c", "label", _in_block("c", "k").alias("i"), _each("k").alias("j"))
+    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
+    return rows.select(F.xxhash64(F.lit(5), "g", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), side.alias("side"), "c", "label")

@@ -38,3 +38,19 @@ def test_blocks_against_all_pairs():
         return root
 
     assert roots((int(x), int(y)) for x, y in zip(a, b, strict=True)) == roots(linked)
+
+
+def test_copies_close_to_the_threshold_are_all_pairs(spark):
+    """1500 copies of one text, each with three words of its own: about a thousand of a million pairs are links."""
+    from tests.llm.test_queries import components
+
+    rng, own = random.Random(5), iter(range(10**9))
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for p in rng.sample(range(120), 3):
+            w[p] = f"u{next(own)}"
+        rows.append((i, " ".join(w)))
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(rows, 4)
