@@ -37,8 +37,10 @@ from .shelf import bounded_batches
 MAGIC = b"FRLIDS01"
 SHARD_IDS = 4_000_000
 BLOCK_BYTES = 2_000_000
-#: Words that a worker process keeps from task to task; beyond that only those of the present block stay.
-CACHE_ENTRIES = 1_000_000
+#: Words that a worker process keeps from task to task; beyond that only those that came again stay, if few enough.
+CACHE_ENTRIES = 2_000_000
+#: What no token goes over.
+SEPARATORS = b" \n"
 _U = np.uint64
 
 
@@ -126,19 +128,37 @@ class Shard:
     def document(self, ordinal: int) -> np.ndarray:
         return self.ids[self.ends[ordinal - 1] if ordinal else 0 : self.ends[ordinal]]
 
+    def locate(self, keys: np.ndarray) -> np.ndarray:
+        """The ordinal of each key's first document, by hash and fingerprint; -1 for keys that are not stored."""
+        slot = self.index.slots(keys)
+        hit = slot >= 0
+        hit[hit] = self.prints[slot[hit]] == fingerprint(keys[hit])
+        out = np.full(len(keys), -1, dtype=np.int64)
+        out[hit] = self.ordinals[slot[hit]]
+        out[hit] = np.where(self.keys[out[hit]] == keys[hit], out[hit], -1)
+        return out
+
     def find(self, key: int) -> np.ndarray | None:
-        k = np.array([key], dtype=np.int64)
-        slot = int(self.index.slots(k)[0])
-        if slot < 0 or self.prints[slot] != fingerprint(k)[0]:
-            return None
-        ordinal = int(self.ordinals[slot])
-        return self.document(ordinal) if self.keys[ordinal] == key else None
+        ordinal = int(self.locate(np.array([key], dtype=np.int64))[0])
+        return None if ordinal < 0 else self.document(ordinal)
+
+    def located(self) -> np.ndarray:
+        """The ordinals of all documents: of each key's first by the index, of null and repeated keys those behind it."""
+        out = np.arange(len(self.keys))
+        some = np.flatnonzero(~self.nulls)
+        first = np.concatenate(([True], self.keys[some][1:] != self.keys[some][:-1])) if len(some) else np.zeros(0, bool)
+        out[some[first]] = self.locate(self.keys[some[first]])
+        if (out < 0).any():
+            raise ValueError("a document is not found by its key: the shard is damaged")
+        return out
 
 
 class WordEncoder:
     """Ids of whole texts, word by word: no merge of this kind of tokenizer goes over a blank or a line's end.
 
-    Words of letters alone are encoded many at a time and told apart by the mark that their last piece carries.
+    Words are told apart by 64-bit hashes.  Each is encoded once and its ids are kept, so a text costs a lookup for
+    each of a block's distinct words.  Words of letters alone are encoded many at a time and told apart by the mark
+    that their last piece carries.
     """
 
     def __init__(self, path: str):
@@ -148,48 +168,103 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.table: dict[str, bytes] = {"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        """Known words: sorted hashes, each one's number, and by number the ends of its ids in ``data``."""
+        self.hash, self.number = np.empty(0, _U), np.empty(0, np.int64)
+        self.ends, self.data = np.zeros(1, np.int64), np.empty(0, self.kind)
+        self.again = np.empty(0, bool)
+
+    def _shrink(self) -> None:
+        """Only words that came in several blocks stay; none, if those are half of all."""
+        stay = self.again[self.number]
+        if 2 * stay.sum() > CACHE_ENTRIES:
+            return self.forget()
+        n = self.number[stay]
+        size = self.ends[n + 1] - self.ends[n]
+        ends = np.cumsum(size)
+        self.data = self.data[np.repeat(self.ends[n] - ends + size, size) + np.arange(size.sum())]
+        self.hash, self.number, self.ends = self.hash[stay], np.arange(len(n)), np.concatenate(([0], ends)).astype(np.int64)
+        self.again = np.zeros(len(n), bool)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        for i in range(0, len(plain), 256):
-            part = plain[i : i + 256]
+    def _letters(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of letters alone."""
+        out: list[np.ndarray] = []
+        for i in range(0, len(words), 256):
+            part = words[i : i + 256]
             (ids,) = self._ids([" ".join(part)])
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                data, cut = ids.tobytes(), [0, *(ends * ids.itemsize).tolist()]
-                self.table.update((w, data[a:b]) for w, a, b in zip(part, cut, cut[1:], strict=False))
-            else:
-                other += part
+            fits = len(ends) == len(part) and ends[-1] == len(ids)
+            out += np.split(ids, ends[:-1]) if fits else self._ids(part)
+        return out
+
+    def _keep(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+        if len(ids):
+            new = len(self.ends) - 1 + np.arange(len(ids))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids])))
+            self.data = np.concatenate((self.data, *ids))
+            self.again = np.concatenate((self.again, np.zeros(len(ids), bool)))
+            by = np.argsort(hashes)
+            at = np.searchsorted(self.hash, hashes[by])
+            self.hash, self.number = np.insert(self.hash, at, hashes[by]), np.insert(self.number, at, new[by])
+
+    def _found(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for one that is not known."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.where(self.hash[at] == hashes, self.number[at], -1)
+
+    def learn(self, words: list[str], hashes: np.ndarray) -> None:
+        """Of words that are not known."""
+        letters = np.array([w.isalpha() for w in words], dtype=bool)
         # a mark that ends a word of letters, also after the tokenizer's own normalising, is a pretoken of its own
-        tail = {w: w[:-1] for w in other if w[-1] in ",.!?;:" and (w[:-1] if w.isascii() else normalize("NFC", w[:-1]).lower()).isalpha()}
+        tail = [i for i, w in enumerate(words) if w[-1] in ",.!?;:" and (w[:-1] if w.isascii() else normalize("NFC", w[:-1]).lower()).isalpha()]
+        base = [words[i][:-1] for i in tail]
+        base_hash = W.words(pa.array(base, pa.string()), SEPARATORS, lower=False)[0]
+        plain = np.flatnonzero(letters)
+        _, first = np.unique(base_hash, return_index=True)
+        more = first[(self._found(base_hash[first]) < 0) & ~np.isin(base_hash[first], hashes[plain])]
+        self._keep(np.concatenate((hashes[plain], base_hash[more])), self._letters([words[i] for i in plain] + [base[i] for i in more]))
         if tail:
-            if missing := set(tail.values()).difference(self.table):
-                self.learn(missing)
-            marks = sorted({w[-1] for w in tail})
-            marks = {m: x.tobytes() for m, x in zip(marks, self._ids(marks), strict=True)}
-            self.table.update((w, self.table[base] + marks[w[-1]]) for w, base in tail.items())
-        rest = [w for w in other if w not in tail]
+            marks = sorted({words[i][-1] for i in tail})
+            marks = dict(zip(marks, self._ids(marks), strict=True))
+            n = self._found(base_hash)
+            self._keep(hashes[tail], [np.concatenate((self.data[self.ends[j] : self.ends[j + 1]], marks[words[i][-1]])) for i, j in zip(tail, n.tolist(), strict=True)])
+        rest = ~letters
+        rest[tail] = False
+        rest = np.flatnonzero(rest)
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
-            self.table.update((w, x.tobytes()) for w, x in zip(part, self._ids(part), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        if len(self.table) > CACHE_ENTRIES:
-            self.table = {"": b""} | {w: self.table[w] for w in words if w in self.table}
-        self.learn(words.difference(self.table))
-        get = self.table.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            self._keep(hashes[part], self._ids([words[j] for j in part]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's end."""
+        h, at, s, e = W.words(texts, SEPARATORS, spans=True, lower=False)
+        if not len(h):
+            return np.empty(0, self.kind), np.zeros(len(texts), np.int64)
+        u, some, place = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hash) > CACHE_ENTRIES:
+            self._shrink()
+        n = self._found(u)
+        self.again[n[n >= 0]] = True
+        new = np.flatnonzero(n < 0)
+        if len(new):
+            raw = W.buffer(texts)[0].tobytes()
+            self.learn([raw[x:y].decode() for x, y in zip(s[some[new]].tolist(), e[some[new]].tolist(), strict=True)], u[new])
+        n = self._found(u)[place]
+        size = self.ends[n + 1] - self.ends[n]
+        ends = np.cumsum(size)
+        ids = self.data[np.repeat(self.ends[n] - ends + size, size) + np.arange(ends[-1])]
+        return ids, np.concatenate(([0], ends))[at[1:]]
 
 
 @lru_cache(1)
@@ -208,25 +283,29 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, place = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        kind = np.dtype(encoder.kind)
-        end = b"" if end_id is None else np.array([end_id], dtype=kind).tobytes()
-        keys, nulls, data = [], [], []
+        keys, nulls, ends, data = [], [], [], []
 
         def shard() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) // kind.itemsize for x in data])
-            out = Shard.build(np.array(keys, dtype=np.int64), np.array(nulls, dtype=bool), ends, np.frombuffer(b"".join(data), dtype=kind), task, place)
+            at, ids = np.cumsum([0] + [len(x) for x in data[:-1]]), np.concatenate(data)
+            all_ends = np.concatenate([x + y for x, y in zip(ends, at, strict=True)])
+            out = Shard.build(np.concatenate(keys), np.concatenate(nulls), all_ends, ids, task, place)
             return pa.RecordBatch.from_arrays([pa.array([out.write()], pa.binary())], names=["value"])
 
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             for a, b in W.blocks(texts, BLOCK_BYTES):
-                ids = batch.column(0).slice(a, b - a)
-                data += [x + end for x in encoder.encode(texts.slice(a, b - a).to_pylist())]
-                nulls += pc.is_null(ids).to_pylist()
-                keys += pc.fill_null(ids, 0).to_pylist()
-                if sum(map(len, data)) >= SHARD_IDS * kind.itemsize:
+                k = batch.column(0).slice(a, b - a)
+                ids, upto = encoder.encode(texts.slice(a, b - a))
+                if end_id is not None:
+                    ids = np.insert(ids, upto, end_id)
+                    upto = upto + np.arange(1, len(upto) + 1)
+                data.append(ids)
+                ends.append(upto)
+                nulls.append(pc.is_null(k).to_numpy(zero_copy_only=False))
+                keys.append(pc.fill_null(k, 0).to_numpy(zero_copy_only=False))
+                if sum(map(len, data)) >= SHARD_IDS:
                     yield shard()
-                    keys, nulls, data, place = [], [], [], place + 1
+                    keys, nulls, ends, data, place = [], [], [], [], place + 1
         if keys:
             yield shard()
 
@@ -239,7 +318,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``key, task, place, ordinal, start_in_shard, n_tokens, ids_crc32`` of every document in the folder's shards.
 
-    The checksum is that of the ids as little-endian unsigned 32-bit numbers.
+    Each key's offset comes from the shard's perfect hash; null keys and the repetitions of a key have no slot of
+    their own and follow in order.  A key that its own shard does not find raises an error.  The checksum is that of
+    the ids as little-endian unsigned 32-bit numbers.
     """
     bounded_batches(spark)
 
@@ -247,10 +328,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for x in batch.column(0):
                 s = Shard.read(x.as_py())
-                n = len(s.keys)
-                crc = [zlib.crc32(s.document(i).astype("<u4")) for i in range(n)]
-                starts = np.concatenate(([0], s.ends[:-1])).astype(np.int64)
-                columns = [pa.array(s.keys, mask=s.nulls), pa.array(np.full(n, s.task)), pa.array(np.full(n, s.place)), pa.array(np.arange(n)), pa.array(starts), pa.array(s.ends - starts), pa.array(crc, pa.int64())]
+                n, at = len(s.keys), s.located()
+                starts = np.concatenate(([0], s.ends[:-1])).astype(np.int64)[at]
+                ends = s.ends[at]
+                ids = memoryview(s.ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+                columns = [pa.array(s.keys, mask=s.nulls), pa.array(np.full(n, s.task)), pa.array(np.full(n, s.place)), pa.array(at), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "task", "place", "ordinal", "start_in_shard", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")

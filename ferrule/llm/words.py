@@ -68,8 +68,9 @@ def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
         cut = i
 
 
-def words(texts: pa.Array, separators: bytes = SPACES, spans: bool = False) -> tuple[np.ndarray, ...]:
-    """Hashes of all words with A-Z in lower case, in order, and where each text's words begin; then the words' spans."""
+def words(texts: pa.Array, separators: bytes = SPACES, spans: bool = False, lower: bool = True) -> tuple[np.ndarray, ...]:
+    """Hashes of all words (A-Z in lower case, if ``lower``), in order, and where each text's words begin; then the
+    words' spans."""
     data, at = buffer(texts)
     n = len(data)
     if not n:
@@ -88,7 +89,7 @@ def words(texts: pa.Array, separators: bytes = SPACES, spans: bool = False) -> t
     power, inverse = _table(n)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, dtype=_U)
-        np.cumsum(_LOWER_LETTER[data] * power[:n], out=total[1:])
+        np.cumsum((_LOWER_LETTER if lower else _LETTER)[data] * power[:n], out=total[1:])
         h = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(_U))
     return (h, np.searchsorted(s, at), s, e)[: 4 if spans else 2]
 
