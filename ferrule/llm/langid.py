@@ -5,8 +5,9 @@ expectation maximisation; the forward algorithm over a word's lattice of pieces
 segmentations.  A text's evidence for a language is the sum over all its words.
 
 Words are runs of letters (ASCII letters in lower case, and all characters beyond ASCII), with the vocabulary's
-word mark before them.  A run of over MOST_CHARS characters is taken in parts of that length, which keeps the sums
-in the range of doubles.  A character that no piece covers costs the same in every language.
+word mark before them.  The sums over a run of more than MOST_CHARS characters are taken in logarithms, as they would
+leave the range of doubles; fitting takes such a run in parts of that length.  A character that no piece covers costs
+the same in every language.
 
 Fitting reads a bounded sample: for each label the labelled texts with the smallest hashes, whole, up to
 SAMPLE_BYTES (at least one).  What is broadcast has the size of the vocabulary times the number of labels.
@@ -27,8 +28,7 @@ from .shelf import bounded_batches
 
 SAMPLE_BYTES = 2_000_000
 BLOCK_BYTES = 4_000_000
-MOST_CHARS = 24
-MOST_PIECE = 16
+MOST_CHARS = 32
 ROUNDS = 4
 #: Probability of a character that no piece covers.
 LOST = 1e-7
@@ -41,7 +41,8 @@ class Pieces:
     """The vocabulary's pieces as sorted hashes of their characters."""
 
     def __init__(self, pieces: list[str]):
-        self.pieces = sorted({p.lower() for p in pieces if 0 < len(p) <= MOST_PIECE})
+        self.pieces = sorted({p.lower() for p in pieces if p})
+        self.longest = max(map(len, self.pieces), default=0)
         chars = np.concatenate([self._chars(p) for p in self.pieces]) if self.pieces else np.empty(0, np.uint32)
         ends = np.cumsum([len(p) for p in self.pieces])
         h = self.spans(self.prefix(chars), ends - [len(p) for p in self.pieces], ends)
@@ -88,7 +89,7 @@ class Pieces:
         end = first[1:][word]
         a, b, k = [], [], []
         reached = np.zeros(len(chars) + 1, dtype=bool)
-        for n in range(1, MOST_PIECE + 1):
+        for n in range(1, max(self.longest, 1) + 1):
             s = at[at + n <= end[at]]
             if not len(s):
                 break
@@ -124,6 +125,19 @@ class Pieces:
             alpha[to[new]] = np.add.reduceat(alpha[a[x:y]] * p[k[x:y]], new, axis=0)
         return alpha
 
+    def log_forward(self, lattice: tuple[np.ndarray, ...], log_p: np.ndarray) -> np.ndarray:
+        """The logarithms of what ``forward`` gives."""
+        a, b, k, first, last, steps = lattice
+        alpha = np.full((int(last[-1]) + 1 if len(last) else 0, log_p.shape[1]), -np.inf)
+        alpha[first] = 0.0
+        for x, y in zip(steps, steps[1:], strict=False):
+            if x == y:
+                continue
+            to = b[x:y]
+            new = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+            alpha[to[new]] = np.logaddexp.reduceat(alpha[a[x:y]] + log_p[k[x:y]], new, axis=0)
+        return alpha
+
     def fit(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Probabilities of the pieces, by expectation maximisation over the words."""
         n = len(self.pieces)
@@ -156,9 +170,17 @@ class Pieces:
     def word_scores(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """log probability of each word in each language."""
         out = np.empty((len(words), p.shape[1]))
-        for i in range(0, len(words), 20_000):
-            lattice = self.lattice(words[i : i + 20_000])
-            out[i : i + 20_000] = np.log(np.maximum(self.forward(lattice, p)[lattice[4]], 1e-300))
+        size = np.array([len(w) for w in words])
+        short, long = np.flatnonzero(size <= MOST_CHARS), np.flatnonzero(size > MOST_CHARS)
+        for i in range(0, len(short), 20_000):
+            part = short[i : i + 20_000]
+            lattice = self.lattice([words[j] for j in part])
+            out[part] = np.log(np.maximum(self.forward(lattice, p)[lattice[4]], 1e-300))
+        if len(long):
+            log_p = np.log(p)
+            for part in np.split(long, np.flatnonzero(np.diff(np.cumsum(size[long]) // 100_000)) + 1):
+                lattice = self.lattice([words[j] for j in part])
+                out[part] = self.log_forward(lattice, log_p)[lattice[4]]
         return out
 
 
@@ -185,9 +207,7 @@ def _parts(words: list[str]) -> tuple[list[str], np.ndarray]:
 def text_scores(pieces: Pieces, p: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The evidence for each language in each text, and its number of words."""
     words, place, at = distinct_words(texts)
-    parts, owner = _parts(words)
-    per_word = np.zeros((len(words), p.shape[1]))
-    np.add.at(per_word, owner, pieces.word_scores(parts, p))
+    per_word = pieces.word_scores([MARK + w for w in words], p)
     total = np.zeros((len(texts), p.shape[1]))
     has = np.diff(at) > 0
     if has.any():
@@ -206,10 +226,11 @@ def fit(labelled: DataFrame, vocabulary: str, text_col: str = "text", label_col:
     """Learns from the labelled texts: of each label those with the smallest hashes, whole, up to SAMPLE_BYTES."""
     bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).where("label is not null and text is not null and text <> ''")
-    # labels with much text are thinned by hash first, so what is dealt to a label's task has a bound at any size
+    # labels with much text are thinned by hash first, so what is dealt to a label's task has a bound at any size; the
+    # sizes, a row a label as in the model itself, are broadcast so that no text is dealt by label before it is thinned
     rows = rows.withColumn("h", F.xxhash64("text", "label"))
     sizes = rows.groupBy("label").agg(F.sum(F.octet_length("text").cast("double")).alias("bytes"), F.min("h").alias("least"))
-    rows = rows.join(sizes, "label").where(((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("bytes") <= 2 * SAMPLE_BYTES) | (F.col("h") == F.col("least")))
+    rows = rows.join(F.broadcast(sizes), "label").where(((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("bytes") <= 2 * SAMPLE_BYTES) | (F.col("h") == F.col("least")))
     by = Window.partitionBy("label").orderBy("h", "text")
     upto = F.sum(F.octet_length("text").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("i", F.row_number().over(by)).withColumn("upto", upto).where((F.col("upto") <= SAMPLE_BYTES) | (F.col("i") == 1))
@@ -228,7 +249,7 @@ def fit(labelled: DataFrame, vocabulary: str, text_col: str = "text", label_col:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", label_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
-    """All columns of docs, with ``lang_pred string, score double``.
+    """All columns of docs, with ``lang_pred string, score double``, in place of columns of these names that docs has.
 
     lang_pred is the most probable label, the first in order among equals; ``und``, with score 0, where the text is
     null or has no letter, or where nothing could be learned.  score is the label's posterior probability.
@@ -236,8 +257,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", label_as: str
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.labels, model.path, model.p))
-    names = docs.columns
-    text_at = names.index(text_col)
+    names = [c for c in docs.columns if c not in (label_as, score_as)]
+    text_at = len(names)  # the text again, as it may be a column that is replaced
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -260,8 +281,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", label_as: str
                     score = np.where(none, 0.0, score)
                 else:
                     found, score = ["und"] * len(part), np.zeros(len(part))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(found, pa.string()), pa.array(score)], names=[*names, label_as, score_as])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:text_at], pa.array(found, pa.string()), pa.array(score)], names=[*names, label_as, score_as])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{label_as}` string, `{score_as}` double"
-    return docs.mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + f", `{label_as}` string, `{score_as}` double"
+    return docs.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
