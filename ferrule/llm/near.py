@@ -9,8 +9,8 @@ expected at any depth.  A tree of depth 4 keeps a pair of similarity 0.8 togethe
 independent ones miss about one pair in a million there, and fewer above.
 
 Only what is connected is asked for, so a pair that is connected already need not be compared.  First each class is
-compared with the leader that most of its nodes share; then, some rounds, the classes outside the label that holds
-most of a large node with a leader of that label.  Of the nodes that still hold several labels,
+compared with the leader that most of its nodes share; then the classes outside the label that holds most of a large
+node with another leader, of that label.  Of the nodes that still hold several labels,
 
 - one of up to SMALL classes is compared exhaustively;
 - in a larger one with a label that holds most of it, each stray, a class of another label, is compared with all
@@ -43,8 +43,6 @@ POOL = 16
 DEPTHS = (4, 8, 12)
 #: Most classes in a node that is compared exhaustively.
 SMALL = 32
-#: Rounds in which classes of large nodes are compared with leaders.
-LEADERS = 3
 #: Classes and shingles on a side of a tile, about.
 ROWS = 512
 MASS = 1_000_000
@@ -232,22 +230,22 @@ def linked_across(a: list, a_label: list, a_set: list, b: list, b_label: list, b
 
 
 def _compare(num: int, den: int):
-    """Links (a, b) of rows (tile, side, c, label, set) in order of tiles: of sides 1 and 2 of a tile, or, where all
-    are on side 0, of all with all."""
+    """Pairs (a, b) of linked labels, of rows (tile, side, label, set) in order of tiles: between sides 1 and 2 of a
+    tile, or, where all are on side 0, between all and all."""
 
     def tile(parts: list[tuple]) -> tuple[list, list]:
-        side, c, label = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        sets = [s for p in parts for s in p[3]]
+        side, label = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        sets = [s for p in parts for s in p[2]]
         first, second = (np.flatnonzero(side != 2), np.flatnonzero(side != 1))
-        return linked_across(*(v for at in (first, second) for v in (c[at], label[at], [sets[i] for i in at])), num, den)
+        return linked_across(*(v for at in (first, second) for v in (label[at], label[at], [sets[i] for i in at])), num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t, side, c, label = (batch.column(i).to_numpy() for i in range(4))
-            sets = batch.column(4)
+            t, side, label = (batch.column(i).to_numpy() for i in range(3))
+            sets = batch.column(3)
             at = np.frombuffer(sets.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(sets.type) else np.int32)[sets.offset : sets.offset + len(sets) + 1]
             data = sets.buffers()[2]
             sets = [np.frombuffer(data, dtype=_U, count=(e - s) // 8, offset=s) if e > s else np.empty(0, _U) for s, e in zip(at.tolist(), at[1:].tolist(), strict=False)]
@@ -258,7 +256,7 @@ def _compare(num: int, den: int):
                     for o, f in zip(out, tile(held), strict=True):
                         o += f
                     held = []
-                held.append((side[s:e], c[s:e], label[s:e], sets[s:e]))
+                held.append((side[s:e], label[s:e], sets[s:e]))
                 now = t[s]
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
         if held:
@@ -287,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = shelf.put(profiles.drop("id").join(first.select("c", F.col("least").alias("id")), "c"))
     root = _connected(classes, source, shelf, k, num, den)
     named = classes.select("c", "id", "k1", "k2")
-    named = (named if root is None else named.join(root, "c", "left").withColumn("c", F.coalesce("root", "c"))).select("c", "id", "k1", "k2")
+    named = named if root is None else _named(named, root, "c").drop("c").withColumnRenamed("label", "c")
     found = named.join(named.groupBy("c").agg(F.min("id").alias("component_id")), "c").select("k1", "k2", "component_id")
     found = shelf.put(found)
     shelf.drop(classes)
@@ -311,9 +309,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.join(kept.where(~F.col("__kept")).select(id_col), id_col, "left_anti").select(*docs.columns)
 
 
+def _named(rows: DataFrame, root: DataFrame, name: str, label: str = "label") -> DataFrame:
+    """rows with the label of ``name``: its root, or itself."""
+    return rows.join(root.toDF(name, "__root"), name, "left").withColumn(label, F.coalesce("__root", name)).drop("__root")
+
+
 def _connected(classes: DataFrame, source: DataFrame, shelf: Shelf, k: int, num: int, den: int) -> DataFrame | None:
-    """``c, root`` of the classes that are linked with another; None if no class shares a node with another."""
-    share, links, root = den / num - 1, [], None
+    """``c, root`` of the classes whose root is another class; None if no class shares a node with another."""
+    share, root = den / num - 1, None
 
     def walked(rows: DataFrame, steps: int) -> DataFrame:
         return rows.mapInArrow(_paths(steps, share), "path long, c long, n long")
@@ -327,47 +330,45 @@ def _connected(classes: DataFrame, source: DataFrame, shelf: Shelf, k: int, num:
     texts = source.select("rk", "text").join(need, "rk").select("c", "text", "k1", "k2").dropDuplicates(["c"])
     sets = shelf.put(texts.mapInArrow(_sets(k), "c long, set binary"))
 
-    def compare(tiles: DataFrame) -> None:
-        """Adds the links found in rows (tile, side, c, label); root then says what is connected so far."""
+    def compare(tiles: DataFrame) -> DataFrame:
+        """Compares rows (tile, side, c, label).  Gives the labels that are no longer roots with their roots, and
+        keeps root up to date."""
         nonlocal root
-        rows = tiles.join(sets, "c").select("tile", "side", "c", "label", "set").repartition("tile").sortWithinPartitions("tile")
-        links.append(shelf.put(rows.mapInArrow(_compare(num, den), "a long, b long")))
-        old, root = root, shelf.put(components(reduce(DataFrame.union, links), shelf))
-        if old is not None:
-            shelf.drop(old)
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(root.select("c", F.col("root").alias("label")), "c", "left").withColumn("label", F.coalesce("label", "c"))
+        rows = tiles.join(sets, "c").select("tile", "side", "label", "set").repartition("tile").sortWithinPartitions("tile")
+        new = components(rows.mapInArrow(_compare(num, den), "a long, b long"), shelf).where("c <> root")
+        if root is None:
+            root = new
+        else:
+            root = shelf.put(_named(root.toDF("at", "c"), new, "c", "root").select(F.col("at").alias("c"), "root").union(new))
+        return new
 
     # each class with the leader that most of its nodes share
     compare(_stars(nodes.where("lead <> c").select(F.col("lead").alias("a"), "c", "n", F.col("lead").alias("a_label"), F.col("c").alias("label"))))
-    nodes_of = nodes.select("path", "c", "n")
-    for i in range(1, LEADERS):
-        strays, _, _ = _cut(labelled(nodes_of), i)
-        strays = shelf.put(strays)
-        if strays.isEmpty():
-            break
-        compare(_stars(strays.select(F.col("lead").alias("a"), "c", "n", F.col("main").alias("a_label"), "label")))
-        shelf.drop(strays)
-    strays, others, small = _cut(labelled(nodes_of), 0)
-    strays = shelf.put(strays)
-    tiles = [_exhaustive(small, num, den), _against(strays, root, classes)]
-    large = strays.select("path", "c", "n", "label").union(others)
-    for depth, (above, below) in enumerate(zip(DEPTHS, (*DEPTHS[1:], None), strict=True)):
+    mixed = shelf.put(_mixed(_named(nodes.select("path", "c", "n"), root, "c")))
+    strays = mixed.where("kind = 'stray'")
+    if not strays.isEmpty():
+        new = compare(_stars(strays.select(F.col("lead").alias("a"), "c", "n", F.col("main").alias("a_label"), "label")))
+        again = _named(_named(mixed.withColumnRenamed("label", "was"), new, "was"), new, "main", "held_by").drop("was", "main").withColumnRenamed("held_by", "main")
+        mixed = shelf.put(again.where("kind <> 'stray' or label <> main"))
+        strays = mixed.where("kind = 'stray'")
+    tiles = [_exhaustive(mixed.where("kind = 'small'"), num, den), _against(strays, root, classes)]
+    large = mixed.where("kind <> 'small'").select("path", "c", "n", "label")
+    for depth, above in enumerate(DEPTHS):
         if depth:
-            large = labelled(walked(large.join(classes.select("c", "sig"), "c").select("c", "n", "sig", "path"), above - DEPTHS[depth - 1])).select("path", "c", "n", "label")
-        mixed = large.groupBy("path").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("path", "size")
-        large = shelf.put(large.join(mixed, "path"))
-        tiles.append(_exhaustive(large.where(F.col("size") <= SMALL), num, den))
-        large = large.where(F.col("size") > SMALL).drop("size")
+            large = walked(large.join(classes.select("c", "sig"), "c").select("c", "n", "sig", "path"), above - DEPTHS[depth - 1])
+            large = _named(large, root, "c")
+        several = large.groupBy("path").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("path", "size")
+        large = shelf.put(large.join(several, "path"))
         if large.isEmpty():
             break
+        tiles.append(_exhaustive(large.where(F.col("size") <= SMALL), num, den))
+        large = large.where(F.col("size") > SMALL).drop("size")
     else:
         ties = large.join(large.groupBy("path").agg(F.min("c").alias("b")), "path").select(F.col("c").alias("a"), "b")
         groups = components(ties, shelf).withColumnRenamed("root", "g")
         tiles.append(_all_with_all(large.select("c", "n", "label").distinct().join(groups, "c")))
     compare(reduce(DataFrame.union, tiles))
-    shelf.drop(nodes, sets, strays)
+    shelf.drop(nodes, sets, mixed)
     return root
 
 
@@ -388,20 +389,18 @@ def _each(blocks: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
 
-def _cut(rows: DataFrame, i: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows (path, c, n, label) of nodes with several labels, in three: the strays of large nodes that one label
-    holds most of, with that label and the i-th leader of it; all rows of other large nodes; and of small ones."""
-    turn = F.lit((0x9E3779B97F4A7C15 * i) % (1 << 62))  # another order of the classes for each i
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Of the nodes of rows (path, c, n, label) with several labels: of a large node that one label holds most of, its
+    strays, with that label as ``main`` and a leader of it as ``lead``; all rows of other large nodes and of small ones.
+    ``kind`` tells which."""
+    turn = F.lit(0x1E3779B97F4A7C15)  # another order of the classes than that in which the first leaders were taken
     by = rows.groupBy("path", "label").agg(F.count("*").alias("k"), F.min(F.col("c").bitwiseXOR(turn)).alias("lead"))
     most = by.groupBy("path").agg(
         F.sum("k").alias("size"), F.count("*").alias("labels"), F.max("k").alias("top"), _first("label", "k", "label").alias("main"), _first("lead", "k", "label").alias("lead")
     )
-    most = most.where("labels > 1").select("path", "size", "main", F.col("lead").bitwiseXOR(turn).alias("lead"), (F.col("top") * 2 > F.col("size")).alias("held"))
-    large = F.col("size") > SMALL
-    strays = rows.join(most.where(large & F.col("held")).withColumnRenamed("path", "p"), (F.col("path") == F.col("p")) & (F.col("label") != F.col("main")))
-    others = rows.join(most.where(large & ~F.col("held")).select("path"), "path")
-    small = rows.join(most.where(~large).select("path", "size"), "path")
-    return strays.select("path", "c", "n", "label", "main", "lead"), others.select("path", "c", "n", "label"), small
+    kind = F.when(F.col("size") <= SMALL, "small").when(F.col("top") * 2 > F.col("size"), "stray").otherwise("other")
+    most = most.where("labels > 1").select(F.col("path").alias("p"), "main", F.col("lead").bitwiseXOR(turn).alias("lead"), kind.alias("kind"))
+    return rows.join(most, (F.col("path") == F.col("p")) & ((F.col("kind") != "stray") | (F.col("label") != F.col("main")))).drop("p")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -415,12 +414,12 @@ def _stars(rows: DataFrame) -> DataFrame:
 
 
 def _exhaustive(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """A tile for each node of rows (path, c, n, label, size), and one for nodes with the same classes; two classes
-    whose sizes rule out a link need none."""
+    """A tile for each node with several labels of rows (path, c, n, label), and one for nodes with the same classes; two
+    classes whose sizes rule out a link need none."""
     tiles = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("c", "n", "label"))).alias("m"))
     tiles = tiles.select(F.xxhash64(F.lit(2), "m.c").alias("tile"), "m").dropDuplicates(["tile"])
     a, b = F.element_at("m", 1)["n"], F.element_at("m", -1)["n"]
-    tiles = tiles.where((F.size("m") > 2) | ((a * den >= b * num) & (b * den >= a * num)))
+    tiles = tiles.where(F.size(F.array_distinct("m.label")) > 1).where((F.size("m") > 2) | ((a * den >= b * num) & (b * den >= a * num)))
     return tiles.select("tile", F.explode("m").alias("m")).select("tile", F.lit(0).alias("side"), "m.c", "m.label")
 
 
@@ -428,7 +427,7 @@ def _against(strays: DataFrame, root: DataFrame, classes: DataFrame) -> DataFram
     """Tiles of each stray with all classes of the label that holds most of its node."""
     strays = strays.select("main", "c", "n", "label").distinct()
     cut = strays.groupBy("main").agg(_blocks(F.count("*"), F.sum("n")).alias("ks"))
-    members = root.join(cut, F.col("root") == F.col("main")).select("main", "ks", "c").join(classes.select("c", "n"), "c")
+    members = root.join(cut, F.col("root") == F.col("main")).select("main", "ks", "c").union(cut.select("main", "ks", "main")).join(classes.select("c", "n"), "c")
     cut = members.groupBy("main", "ks").agg(_blocks(F.count("*"), F.sum("n")).alias("km"))
     members = members.select("main", "c").join(cut, "main").select("main", _in_block("c", "km").alias("j"), _each("ks").alias("i"), F.lit(2).alias("side"), "c", F.col("main").alias("label"))
     strays = strays.join(cut, "main").select("main", _each("km").alias("j"), _in_block("c", "ks").alias("i"), F.lit(1).alias("side"), "c", "label")
