@@ -30,11 +30,20 @@ def unit(a: Column) -> Column:
 
 
 def right_closed(value: Column, edges: list[float], labels: list[str]) -> Column:
-    """The label of the bin whose upper edge is the first at or above the value; the last label beyond all edges."""
+    """The label of the bin whose upper edge is the first at or above the value; the last label beyond all edges; null
+    for null."""
     out = None
     for edge, label in zip(edges, labels, strict=False):
         out = F.when(value <= edge, label) if out is None else out.when(value <= edge, label)
-    return out.otherwise(labels[len(edges)]) if len(labels) > len(edges) else out
+    return out.when(value.isNotNull(), labels[len(edges)]) if len(labels) > len(edges) else out
+
+
+def half(value: Column) -> Column:
+    """The number as it comes back from 16 bits: 11 binary digits, ties to even; beyond 65504 infinite."""
+    x = value.cast("double")
+    unit_of = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14.0)) - 10)
+    y = F.rint(x / unit_of) * unit_of
+    return F.when(x == 0, x).when(F.abs(y) > 65504, F.signum(x) * F.lit(float("inf"))).otherwise(y)
 
 
 def valid_price(price: Column, most: float = 1e8) -> Column:

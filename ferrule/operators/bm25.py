@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, doc: str, words: str, k1: float = K1, b: float = B) -> DataFrame:
+def postings(docs: DataFrame, doc: str, words: str, k1: float = K1, b: float = B, of: DataFrame | None = None) -> DataFrame:
     """``term, doc, tf, w``: a row for each term of each document, with the term's frequency and weight.
 
     idf is ln(1 + (N - df + 0.5) / (df + 0.5)), and the weight idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)).
-    ``words`` is an array column; documents without words count in N and in the mean length.
+    ``words`` is an array column; documents without words count in N and in the mean length.  With ``of (term)``, only
+    these terms are made: the others leave before anything is shuffled.
     """
-    tf = docs.select(doc, F.explode(words).alias("term")).groupBy("term", doc).agg(F.count("*").alias("tf"))
+    every = docs.select(doc, F.explode(words).alias("term"))
+    if of is not None:
+        every = every.join(of.select("term").distinct(), "term", "left_semi")
+    tf = every.groupBy("term", doc).agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     size = docs.select(doc, F.size(F.coalesce(words, F.array().cast("array<string>"))).alias("dl"))
     corpus = size.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
@@ -39,6 +43,11 @@ def scores(queries: DataFrame, query: str, words: str, index: DataFrame, doc: st
     return out if digits is None else out.withColumn("score", F.round("score", digits))
 
 
+def terms(queries: DataFrame, words: str) -> DataFrame:
+    """``term``: all that is asked for."""
+    return queries.select(F.explode(words).alias("term")).distinct()
+
+
 def coverage(queries: DataFrame, query: str, words: str, scored: DataFrame) -> DataFrame:
     """``scored`` with ``cov``: hits as a share of the query's distinct terms, known or not."""
     n = queries.select(query, F.greatest(F.size(F.array_distinct(words)), F.lit(1)).alias("terms"))

@@ -14,6 +14,8 @@ from . import topk
 
 #: Vectors of queries that go round at once.
 QUERY_SLICE = 2048
+#: Vectors of a place in a block.
+BLOCK = 1024
 
 
 def dense_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, vector: str, k: int, exclude_self: bool = False, digits: int = 6) -> DataFrame:
@@ -122,6 +124,42 @@ def history(pairs: DataFrame, chosen: DataFrame, sims: DataFrame, query: str, it
     return pairs.join(seen, [query, item], "left").fillna(0, ["hist_n_texts"])
 
 
+def place_top_k(asks: DataFrame, items: DataFrame, place: str, ask: str, item: str, vector: str, k: int, digits: int = 6) -> DataFrame:
+    """``ask, item, score, rank``: the k most similar items of the asking vector's own place, itself left out.
+
+    Both sides of a place are cut into blocks of about BLOCK vectors, and a task multiplies one with one: no pairs are
+    made, and no place is in one task.
+    """
+    blocks = lambda df: df.groupBy(place).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    sizes = blocks(asks).withColumnRenamed("k", "ka").join(blocks(items).withColumnRenamed("k", "ki"), place)
+    in_block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    v = F.transform(vector, lambda x: x.cast("double")).alias("v")
+    left = asks.where(F.col(vector).isNotNull()).join(sizes, place).select(F.col(place).alias("p"), in_block(ask, "ka").alias("i"), each("ki").alias("j"), F.col(ask).alias("id"), F.col(item).alias("own"), v)
+    right = items.where(F.col(vector).isNotNull()).join(sizes, place).select(F.col(place).alias("p"), each("ka").alias("i"), in_block(item, "ki").alias("j"), F.col(item).alias("id"), v)
+    kinds = asks.schema[ask].dataType.simpleString(), items.schema[item].dataType.simpleString()
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if a.num_rows and b.num_rows:
+            ids, names, own = (t.column(c).to_numpy() for t, c in ((b, "id"), (a, "id"), (a, "own")))
+            x, y = (np.stack(t.column("v").to_numpy()) for t in (a, b))
+            scores = np.zeros((len(x), len(y)))
+            for j in range(x.shape[1]):  # in one order, so that the sum does not depend on the blocks
+                scores += x[:, j, None] * y[:, j]
+            scores = np.round(scores, digits) + 0.0
+            for name, mine, s in zip(names, own, scores, strict=True):
+                keep = np.flatnonzero(ids != mine)
+                at = keep[np.lexsort((ids[keep], -s[keep]))[:k]]
+                out += [(name, i, z) for i, z in zip(ids[at].tolist(), s[at].tolist(), strict=True)]
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        types = a.schema.field("id").type, b.schema.field("id").type, pa.float64()
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["ask", "item", "score"])
+
+    pairs = left.groupBy("p", "i", "j").cogroup(right.groupBy("p", "i", "j")).applyInArrow(best, f"ask {kinds[0]}, item {kinds[1]}, score double")
+    return topk.top_k(pairs, "ask", "score", "item", k).withColumnsRenamed({"ask": ask, "item": item})
+
+
 def hard_negatives(pairs: DataFrame, items: DataFrame, item: str, place: str, text: str, vector: str, known: DataFrame, least: int = 40, top: int = 40, first: int = 5, last: int = 30, seed: int = 13) -> DataFrame:
     """``pairs`` with ``negative``: an item of the same place that is like the chosen one, but was not chosen for the text.
 
@@ -129,12 +167,12 @@ def hard_negatives(pairs: DataFrame, items: DataFrame, item: str, place: str, te
     of the ranks from ``first`` (from 0) to before ``last`` one is picked by hash.  null where there is none.
     """
     crowd = items.groupBy(place).agg(F.count("*").alias("__n")).where(F.col("__n") > least).select(place)
-    mine = pairs.select(text, item).distinct().join(items.select(item, place, F.col(vector).alias("__q")), item).join(crowd, place, "left_semi")
-    others = items.select(F.col(item).alias("negative"), place, F.col(vector).alias("__v"))
-    near = mine.join(others, place).where(F.col("negative") != F.col(item)).withColumn("score", F.round(dot(F.col("__q"), F.col("__v")), 6)).drop("__q", "__v")
-    near = topk.top_k(near, [text, item], "score", "negative", top).drop("rank")
+    there = items.select(item, place, vector).join(crowd, place, "left_semi")
+    asks = pairs.select(item).distinct().join(there, item).withColumn("__ask", F.col(item))
+    near = place_top_k(asks, there, place, "__ask", item, vector, top).select("__ask", F.col(item).alias("negative"), "score")
+    near = pairs.select(text, item).distinct().join(near.withColumnRenamed("__ask", item), item)
     free = near.join(known.select(text, F.col(item).alias("negative")).distinct(), [text, "negative"], "left_anti")
     band = topk.top_k(free, [text, item], "score", "negative", last).where(F.col("rank") > first)
-    w = Window.partitionBy(text, item).orderBy(F.xxhash64(F.lit(seed), text, item, "negative"), "negative")
+    w = Window.partitionBy(text, item).orderBy(topk.hash_order(seed, text, item, "negative"), "negative")
     picked = band.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(text, item, "negative")
     return pairs.join(picked, [text, item], "left")

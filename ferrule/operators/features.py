@@ -13,6 +13,7 @@ from ..functions.numeric import haversine_km
 from ..functions.text import bigrams, has_any, key
 from . import places, topk
 
+# The features' names, by group.
 GROUPS = {
     "text": "bm25_all bm25_title bm25_params bm25_desc bm25_rel_max cos cos_gap_max rank_bm25 rank_dense in_base50 cov_title cov_params cov_desc cov_all all_in_title bigram_title".split(),
     "geo": "geo_mult same_city region_city_share dist_km city_center_dist_km dist_core_km region_city_rank".split(),
@@ -140,6 +141,12 @@ def item_block(items: DataFrame) -> DataFrame:
     )
 
 
+def text_lengths(items: DataFrame, title: str, description: str) -> DataFrame:
+    """items with ``title_words``, the blank-separated words of the title, and ``desc_chars``."""
+    words = F.size(F.filter(F.split(F.coalesce(F.col(title), F.lit("")), r"\s+"), lambda w: w != ""))
+    return items.withColumns({"title_words": words.cast("double"), "desc_chars": F.length(F.coalesce(F.col(description), F.lit(""))).cast("double")})
+
+
 def price_relative(items: DataFrame, place: str, category: str, price: str) -> DataFrame:
     """items with the price as a multiple of the exact median of its place and category, and a flag for no price."""
     median = items.groupBy(place, category).agg(F.median(price).alias("__m"))

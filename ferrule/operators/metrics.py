@@ -52,8 +52,13 @@ def depth_curve(ranked: DataFrame, truth: DataFrame, query: str, item: str, dept
 
 def misses(candidates: DataFrame, ranked: DataFrame, truth: DataFrame, query: str, item: str, k: int = K) -> DataFrame:
     """``cause, n`` of all true pairs: found, ranked too low, or no candidate at all."""
+    return causes(candidates, ranked, truth, query, item, k).groupBy("cause").agg(F.count("*").alias("n"))
+
+
+def causes(candidates: DataFrame, ranked: DataFrame, truth: DataFrame, query: str, item: str, k: int = K) -> DataFrame:
+    """``query, item, cause`` of every true pair."""
     t = truth.select(query, item).distinct()
     c = candidates.select(query, item).distinct().withColumn("__c", F.lit(True))
     r = ranked.where(F.col("rank") <= k).select(query, item).distinct().withColumn("__r", F.lit(True))
     cause = F.when(F.col("__r"), "found").when(F.col("__c"), "ranked_low").otherwise("no_candidate")
-    return t.join(c, [query, item], "left").join(r, [query, item], "left").groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
+    return t.join(c, [query, item], "left").join(r, [query, item], "left").select(query, item, cause.alias("cause"))

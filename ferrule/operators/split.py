@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import right_closed
 from .topk import hash_order
 
+# The upper edges of the bins and their names.
 FREQUENCY = ([0, 1, 3, 10, 100], ["0", "1", "2-3", "4-10", "11-100", ">100"])
 POOL = ([300, 1000, 3000, 10000], ["<=300", "301-1000", "1001-3000", "3001-10000", ">10000"])
 STRATA = ["freq_bucket", "loc_level", "has_vid", "pool_bucket"]
@@ -44,6 +45,8 @@ def targets(benchmark: DataFrame, strata: list[str], n: int) -> DataFrame:
 def stratified_pick(pool: DataFrame, targets: DataFrame, strata: list[str], query: str, text: str, seed: int) -> DataFrame:
     """Up to the target of queries of each stratum, no text twice; rarer strata choose first.
 
+    As targets are rounded stratum by stratum, their sum can differ from the number asked for by a few.
+
     A text that several strata have goes to the rarest of them.  This gives what choosing stratum by stratum gives, up
     to the order within a text, in two windows and without a loop.
     """
@@ -107,14 +110,21 @@ def negatives(pairs: DataFrame, query: str, item: str, label: str, n: int = 100,
 
 
 def batches(pairs: DataFrame, text: str, item: str, category: str, size: int, seed: int, least: int = 8) -> DataFrame:
-    """Contrastive batches: half of them in order of category, half at random; no text and no item twice in a batch."""
-    h = hash_order(seed, text, item)
-    rows = pairs.withColumn("half", (F.pmod(h, F.lit(2))).cast("int")).withColumn("__h", h)
-    order = F.when(F.col("half") == 0, F.col(category)).otherwise(F.lit(None))
-    # places are counted within a salted part of the pairs, so no task sorts them all
-    rows = rows.withColumn("part", F.when(F.col("half") == 0, F.pmod(F.xxhash64(category), F.lit(64))).otherwise(F.pmod(F.xxhash64("__h", F.lit(7)), F.lit(64))).cast("int"))
-    w = Window.partitionBy("half", "part").orderBy(order, "__h", text, item)
-    rows = rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size)).drop("__h")
-    b = ["half", "part", "batch"]
-    rows = rows.dropDuplicates([*b, text]).dropDuplicates([*b, item])
-    return rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*b))).where(F.col("__n") >= least).drop("__n")
+    """``half, batch`` of contrastive pairs: half of them in order of category, half at random; no text and no item twice
+    in a batch, and no batch with fewer than ``least`` pairs.
+
+    Places in the order are counted by parts, of a category and the first digits of the hash, so no task sorts a half.
+    """
+    rows = pairs.withColumn("__h", hash_order(seed, text, item))
+    rows = rows.withColumn("half", F.when(F.substring("__h", 32, 1) < "8", 0).otherwise(1))
+    rows = rows.withColumn("__c", F.when(F.col("half") == 0, F.coalesce(F.col(category).cast("string"), F.lit(""))).otherwise("")).withColumn("__b", F.substring("__h", 1, 2))
+    part = ["half", "__c", "__b"]
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("half").orderBy("__c", "__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy(*part).agg(F.count("*").alias("__n")).withColumn("__before", before).drop("__n")  # a row a part
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("__h", text, item)) - 1
+    rows = rows.withColumn("__at", place).join(parts, part).withColumn("batch", F.floor((F.col("__before") + F.col("__at")) / size))
+    for once in (text, item):
+        w = Window.partitionBy("half", "batch", once).orderBy("__h", text, item)
+        rows = rows.withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    rows = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("half", "batch"))).where(F.col("__n") >= least)
+    return rows.select(*pairs.columns, "half", "batch")

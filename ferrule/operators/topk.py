@@ -93,8 +93,8 @@ def sum_before(value: str, by: str | list[str], order: list[Column]) -> Column:
 
 
 def hash_order(seed: int, *columns: str) -> Column:
-    """A pseudo-random order that is the same in every run, whatever the partitions."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
+    """A pseudo-random order that is the same in every run, whatever the partitions, and in any engine that has md5."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
 
 
 def rank_band(df: DataFrame, by: str, score: str, pos: str, first: int, last: int, pick: Column) -> DataFrame:

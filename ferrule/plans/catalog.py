@@ -69,7 +69,9 @@ def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.scores(_searches(spark, sf_dir), "item_id", "words", bm25.postings(_documents(spark, sf_dir), "doc_id", "words"), "doc_id")
+    asks = _searches(spark, sf_dir)
+    index = bm25.postings(_documents(spark, sf_dir), "doc_id", "words", of=bm25.terms(asks, "words"))
+    return bm25.scores(asks, "item_id", "words", index, "doc_id")
 
 
 @query(f"WITH {D_SQL} SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct FROM d")
@@ -101,9 +103,13 @@ def bm25_topk(spark, sf_dir):
     return topk.top_k(_scored(spark, sf_dir), "item_id", "score", "doc_id", 50)
 
 
-@query(f"WITH {P_SQL} SELECT item_id, doc_id, score, hits, round(hits / greatest(len(w), 1), 9) AS cov FROM s JOIN q USING (item_id)")
+@query(f"""
+WITH {P_SQL}, r AS (SELECT item_id, doc_id, score, hits, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT item_id, doc_id, score, hits, round(hits / greatest(len(w), 1), 9) AS cov FROM r JOIN q USING (item_id) WHERE rank <= 50
+""")
 def bm25_coverage(spark, sf_dir):
-    return bm25.coverage(_searches(spark, sf_dir), "item_id", "words", _scored(spark, sf_dir)).withColumn("cov", F.round("cov", 9))
+    """Of the candidates that a search has, not of all pairs."""
+    return bm25.coverage(_searches(spark, sf_dir), "item_id", "words", bm25_topk(spark, sf_dir).drop("rank")).withColumn("cov", F.round("cov", 9))
 
 
 # choices
@@ -446,17 +452,30 @@ def strata_targets(spark, sf_dir):
     return split.targets(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"], 500)
 
 
-@query()
+PICK_SQL = """t AS (SELECT c_mktsegment, c_nationkey, count(*) AS size, CAST(round_even(500.0::DOUBLE * count(*) / sum(count(*)) OVER (), 0) AS BIGINT) AS target FROM customer GROUP BY ALL),
+once AS (
+  SELECT c_custkey, c_mktsegment, c_nationkey, target, md5('13|' || c_custkey) AS h, row_number() OVER (PARTITION BY c_name ORDER BY size, c_mktsegment, c_nationkey, md5('13|' || c_custkey), c_custkey) AS i
+  FROM customer JOIN t USING (c_mktsegment, c_nationkey)
+), picked AS (
+  SELECT c_custkey, c_mktsegment, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY h, c_custkey) AS n FROM once WHERE i = 1) WHERE n <= target
+)"""
+
+
+@query(f"WITH {PICK_SQL} SELECT * FROM picked")
 def stratified_pick(spark, sf_dir):
-    """A hold-out of customers by segment and nation, in an order by hash that SQL does not have."""
+    """A hold-out of customers by segment and nation."""
     customers = table(spark, sf_dir, "customer")
     strata = ["c_mktsegment", "c_nationkey"]
     return split.stratified_pick(customers, split.targets(customers, strata, 500), strata, "c_custkey", "c_name", 13).select("c_custkey", *strata)
 
 
-@query()
+@query(f"""
+WITH {PUR_SQL}, p AS (SELECT cust, part, CAST(hit AS INTEGER) AS label, max(CAST(hit AS INTEGER)) OVER (PARTITION BY cust) AS m FROM pur),
+r AS (SELECT *, row_number() OVER (PARTITION BY cust, label ORDER BY md5('13|' || cust || '|' || part), part) AS n FROM p WHERE m > 0)
+SELECT cust, part, label FROM r WHERE label > 0 OR n <= 5
+""")
 def training_negatives(spark, sf_dir):
-    """All chosen pairs that were returned and up to 5 others of each customer, in an order by hash that SQL does not have."""
+    """All chosen pairs that were returned and up to 5 others of each customer that has one."""
     pairs = _purchases(spark, sf_dir).select("cust", "part", F.col("hit").cast("int").alias("label"))
     return split.negatives(pairs, "cust", "part", "label", n=5, need_positive=True)
 

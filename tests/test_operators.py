@@ -78,3 +78,62 @@ def test_parameters_and_experience(spark):
 def test_distance(spark):
     km = spark.range(1).select(numeric.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))).first()[0]
     assert km == pytest.approx(6371 * math.pi / 180)
+
+
+def test_bins_of_null_and_half_precision(spark):
+    import numpy as np
+
+    from ferrule.functions import numeric
+
+    rows = spark.createDataFrame([(None,), (0.0,), (1.5,), (1e9,)], "x double")
+    assert [r[0] for r in rows.select(numeric.right_closed(F.col("x"), [0, 1, 3], ["0", "1", "2-3", ">3"])).collect()] == [None, "0", "2-3", ">3"]
+    x = [0.0, 1 / 3, -2049.0, 65504.0, 65519.0, 65520.0, 6e-8, 2.5e-8, 1e-5, -0.1, 3.14159]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(numeric.half(F.col("x"))).collect()]
+    with np.errstate(over="ignore"):
+        assert got == [float(np.float16(v)) for v in x]
+
+
+def test_history_of_items_and_of_none(spark):
+    """Three texts at unit length; a was chosen for two of them, b for the third, c never."""
+    from ferrule.operators import dense
+
+    sims = spark.createDataFrame([("q", 0, 1.0), ("q", 1, 0.0), ("q", 2, 0.6)], "query string, text int, sim double")
+    chosen = spark.createDataFrame([("a", 0), ("a", 1), ("b", 2)], "item string, text int")
+    pairs = spark.createDataFrame([("q", i) for i in "abc"], "query string, item string")
+    got = {r["item"]: (r.hist_text_max_sim, r.hist_text_mean_sim, r.hist_n_texts) for r in dense.history(pairs, chosen, sims, "query", "item", "text").collect()}
+    assert got == {"a": (1.0, 0.5, 2), "b": (0.6, 0.6, 1), "c": (None, None, 0)}
+
+
+def test_variants_and_models_that_come_back(spark, tmp_path):
+    from ferrule.operators import features, rerank
+
+    assert rerank.VARIANTS["all"] == features.ALL and not set(features.GROUPS["hist"]) & set(rerank.VARIANTS["no_history"])
+    rows = spark.createDataFrame([(q, i, int(i % 4 == 0), float(i % 4), None if i % 5 else 1.0) for q in range(20) for i in range(16)], "q long, i long, label int, a double, b double")
+    models = rerank.train(rerank.sample(rows, "q", "i", "label", n=10), ["a", "b"], "label", seeds=(1, 2), trees=3, leaf=1)
+    rerank.save(models, str(tmp_path))
+    top = rerank.rerank(rows, rerank.load(spark, str(tmp_path), 2), ["a", "b"], "q", "i", 4).collect()
+    assert len(top) == 80 and all(r.i % 4 == 0 for r in top)
+    assert top == rerank.rerank(rows, models, ["a", "b"], "q", "i", 4).collect()
+
+
+def test_words_and_metadata_sinks(spark, tmp_path):
+    from ferrule.operators import sinks
+
+    sinks.write_words(spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "w string"), "w", f"{tmp_path}/w")
+    assert [r.word for r in sinks.read_words(spark, f"{tmp_path}/w").collect()] == ["a", "b"]
+    sinks.write_metadata({"seed": 13, "n": 5000}, spark, f"{tmp_path}/m")
+    assert sinks.read_metadata(spark, f"{tmp_path}/m") == {"n": 5000, "seed": 13}
+
+
+def test_vectors_are_made_once(spark, tmp_path):
+    from ferrule.operators import sinks
+
+    cache, calls = sinks.VectorCache(spark, f"{tmp_path}/v", "k"), []
+
+    def encode(rows):
+        calls.append(sorted(r.k for r in rows.collect()))
+        return rows.withColumn("embedding", F.array(F.col("k").cast("double")))
+
+    assert cache.ensure(spark.createDataFrame([(1,), (2,), (2,)], "k long"), encode).count() == 3
+    got = cache.ensure(spark.createDataFrame([(3,), (1,), (None,)], "k long"), encode).collect()
+    assert calls == [[1, 2], [3]] and {(r.k, tuple(r.embedding or ())) for r in got} == {(3, (3.0,)), (1, (1.0,)), (None, ())}
