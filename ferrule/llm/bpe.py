@@ -26,11 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import words as W
+from .shelf import bounded_batches, frugal
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 2_000_000
 #: Words that a worker process keeps from task to task; beyond that only those of the present block stay.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 
 
 class MergeReplay:
@@ -175,9 +176,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     ``ranks_path`` is a file of base64 pieces and ranks, there on every machine; ``pattern`` cuts a text into
     the pretokens that are merged separately.  No special tokens are made.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, ids array<int>" + ", decoded binary" * with_decoded
-    return docs.select(id_col, text_col).mapInArrow(encoder(ranks_path, pattern, id_col, text_col, with_decoded), schema)
+    return docs.select(id_col, text_col).mapInArrow(frugal(encoder(ranks_path, pattern, id_col, text_col, with_decoded)), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

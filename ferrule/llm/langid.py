@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shelf import bounded_batches
+from .shelf import bounded_batches, frugal
 
 SAMPLE_BYTES = 2_000_000
 BLOCK_BYTES = 4_000_000
@@ -284,5 +284,5 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", label_as: str
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:text_at], pa.array(found, pa.string()), pa.array(score)], names=[*names, label_as, score_as])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + f", `{label_as}` string, `{score_as}` double"
-    return docs.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(frugal(run), schema)
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shelf import Shelf, bounded_batches
+from .shelf import Shelf, bounded_batches, frugal
 
 TREES = 16
 #: Minwise tokens that a tree chooses from.
@@ -170,8 +170,9 @@ def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     (ca, oa), (cb, ob) = (number[ac[da]], ao[da]), (number[bc[db]], bo[db])
     sa, sb = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
     ca, oa, cb, ob = ca[sa], oa[sa], cb[sb], ob[sb]
-    width = max(64, CELLS // (m + n))
-    for lo in range(0, int(dense.sum()), width):
+    many = int(dense.sum())
+    width = max(1, min(many, CELLS // (m + n)))
+    for lo in range(0, many, width):
         (i, j), (p, q) = np.searchsorted(ca, (lo, lo + width)), np.searchsorted(cb, (lo, lo + width))
         left, right = np.zeros((m, width), np.float32), np.zeros((n, width), np.float32)
         left[oa[i:j], ca[i:j] - lo] = 1
@@ -279,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shelf = Shelf(spark, "near")
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("rk", F.xxhash64("id", "text"))
-    profiles = source.mapInArrow(_profiles(k), f"id {kind}, rk long, n long, k1 long, k2 long, sig binary")
+    profiles = source.mapInArrow(frugal(_profiles(k)), f"id {kind}, rk long, n long, k1 long, k2 long, sig binary")
     profiles = shelf.put(profiles.withColumn("c", F.monotonically_increasing_id()))
     first = profiles.where("n > 0").groupBy("k1", "k2").agg(F.min("c").alias("c"), F.min("id").alias("least"))
     classes = shelf.put(profiles.drop("id").join(first.select("c", F.col("least").alias("id")), "c"))
@@ -319,7 +320,7 @@ def _connected(classes: DataFrame, source: DataFrame, shelf: Shelf, k: int, num:
     share, root = den / num - 1, None
 
     def walked(rows: DataFrame, steps: int) -> DataFrame:
-        return rows.mapInArrow(_paths(steps, share), "path long, c long, n long")
+        return rows.mapInArrow(frugal(_paths(steps, share)), "path long, c long, n long")
 
     nodes = walked(classes.select("c", "n", "sig"), DEPTHS[0])
     shared = nodes.groupBy("path").agg(F.count("*").alias("size"), F.min("c").alias("lead")).where("size > 1")
@@ -328,14 +329,14 @@ def _connected(classes: DataFrame, source: DataFrame, shelf: Shelf, k: int, num:
         return None
     need = nodes.select("c").distinct().join(classes.select("c", "rk", "k1", "k2"), "c")
     texts = source.select("rk", "text").join(need, "rk").select("c", "text", "k1", "k2").dropDuplicates(["c"])
-    sets = shelf.put(texts.mapInArrow(_sets(k), "c long, set binary"))
+    sets = shelf.put(texts.mapInArrow(frugal(_sets(k)), "c long, set binary"))
 
     def compare(tiles: DataFrame) -> DataFrame:
         """Compares rows (tile, side, c, label).  Gives the labels that are no longer roots with their roots, and
         keeps root up to date."""
         nonlocal root
         rows = tiles.join(sets, "c").select("tile", "side", "label", "set").repartition("tile").sortWithinPartitions("tile")
-        new = components(rows.mapInArrow(_compare(num, den), "a long, b long"), shelf).where("c <> root")
+        new = components(rows.mapInArrow(frugal(_compare(num, den)), "a long, b long"), shelf).where("c <> root")
         if root is None:
             root = new
         else:

@@ -2,29 +2,55 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import words as W
+
 #: Bytes in an Arrow batch that goes to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary folder of this machine."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine, a temporary folder of it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ferrule-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end at a number of bytes, so long texts don't make large ones."""
+    """Arrow batches end at a number of bytes, so long texts don't make large ones.  Holds for the session, as plans are
+    run after they are made."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The function of a task, which hands the memory that it no longer uses back to the machine at its end: Python
+    workers go on from task to task, and an executor's limit counts what they hold."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            W.forget()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task
+
+
 class Shelf:
     """A folder of one run.  put() writes and reads again; drop() deletes what is no longer needed."""
 

@@ -47,6 +47,13 @@ def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def forget(most: int = 2 * BLOCK_BYTES) -> None:
+    """Drops the table that a very long text has made."""
+    global _powers
+    if len(_powers[0]) > most:
+        _powers = (np.empty(0, _U), np.empty(0, _U))
+
+
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, and where each begins; a null text is empty."""
     texts = pc.fill_null(texts, "")
