@@ -1,46 +1,59 @@
 """Language-model scoring by a weighted backoff automaton over the words of a corpus.
 
-Model: n-gram counts of all training texts, smoothed from order to order by a Dirichlet prior of weight KAPPA,
+Model: n-gram counts of all training texts, smoothed from order to order by a Dirichlet prior of weight KAPPA[n],
 
-    p(w | h) = (c(h w) + KAPPA * p(w | h')) / (c(h) + KAPPA),    p(w) = (c(w) + 1) / (N + V + 1),
+    p(w | h) = (c(h w) + KAPPA[n] * p(w | h')) / (c(h) + KAPPA[n]),    p(w) = (c(w) + 1) / (N + V + 1),
 
 where h' is h without its first word.  Each seen context is a state.  A state has an arc for each word seen
-after it, and one failure arc, of weight KAPPA / (c(h) + KAPPA), to the state of h'.  The product of the failure
+after it, and one failure arc, of weight KAPPA[n] / (c(h) + KAPPA[n]), to the state of h'.  The product of the failure
 weights and the arc's weight is p, so scoring is one walk from left to right that carries the state.
 
-The model grows with the corpus and is never in one place.  Texts are dealt into blocks; a block asks for the
-counts of its own distinct n-grams, in one sorted message to each shard of the key space, with its own training
+The model grows with the corpus and is never in one place.  Texts are packed into blocks, compressed; a block asks for
+the counts of its own distinct n-grams, in one sorted message to each shard of the key space, with its own training
 counts; a shard adds up what all blocks have sent and answers each in the order of its question.  A block then
 builds the part of the automaton that its texts can reach, which is exact, and walks it.  A frequent n-gram costs
-one entry a block, so no key is hot.  Answers are written to the shared folder: a lost executor repeats a block or
-a shard only.
+one entry a block, so no key is hot.  Blocks and answers are written to the shared folder: a lost executor repeats a
+block or a shard only.
 
-At very large inputs a message to a shard holds few keys; BLOCK_BYTES and SHARD_BYTES are then raised together.
+Words have 64-bit keys.  Those of longer n-grams have SPARE bits more than are needed to number the corpus' bytes, so
+that about one n-gram in 2**SPARE shares its count with another, at any size of the corpus.
+
+Blocks and shards have a bounded size, so there are as many messages as one has of them times the other: beyond some
+TB, BLOCK_BYTES and SHARD_BYTES are to be raised with the executors' memory.
 """
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shelf import Shelf, bounded_batches
+from .shelf import Shelf, bounded_batches, frugal
 
-ORDER = 2
-KAPPA = 2000.0
+#: Weights of the priors of orders 2 and up; their number gives the model's order.
+KAPPA = (300.0, 10.0)
 #: Text bytes in a block and for each shard.
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
+#: Least number of shards.
+SHARDS = 24
+SPARE = 20
 _U = np.uint64
 END, START = (W.mix(np.array([i], dtype=_U))[0] for i in (0xE0D, 0x57A27))
 
 
-def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+def _longer(before: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of the n-grams that are one token longer."""
+    return W.mix(before * _U(W._BASE) + token) >> _U(64 - bits)
+
+
+def grams(texts: pa.Array, order: int, bits: int = 64) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Keys of the n-grams that end at each token, for n from 1 to the order; where they exist; where texts begin.
 
     A text's tokens are its words and one end; n-grams may begin with the start, but not before it.
@@ -58,7 +71,7 @@ def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], list[np.ndarra
             before, ok = np.empty_like(tokens), np.zeros(len(tokens), dtype=bool)
             before[1:], ok[1:] = keys[-1][:-1], there[-1][:-1]
             before[at[:-1]], ok[at[:-1]] = START, n == 2
-            keys.append(W.mix(before * _U(W._BASE) + tokens))
+            keys.append(_longer(before, tokens, bits))
             there.append(ok)
     return keys, there, at
 
@@ -72,8 +85,8 @@ def _distinct(keys: list[np.ndarray], there: list[np.ndarray]) -> list[tuple[np.
     return out
 
 
-def _cuts(sorted_keys: np.ndarray, shards: int) -> np.ndarray:
-    edges = np.array([-(-(i << 64) // shards) for i in range(shards)] , dtype=object)
+def _cuts(sorted_keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    edges = np.array([-(-(i << bits) // shards) for i in range(shards)], dtype=object)
     return np.append(np.searchsorted(sorted_keys, edges.astype(_U)), len(sorted_keys))
 
 
@@ -89,22 +102,66 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
 
 
-def _ask(order: int, shards: int):
-    def run(block: pa.Table) -> pa.Table:
-        texts = block.column("text").combine_chunks()
-        train = block.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        keys, there, at = grams(texts, order)
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, bytes, rows) of rows (id, text, train): a block's rows as a compressed table of their own."""
+    task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def block() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        whole = pa.Table.from_batches(held).combine_chunks()
+        with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(whole)
+        return pa.RecordBatch.from_arrays([pa.array([task << 32 | n]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "bytes", "rows"])
+
+    for batch in batches:
+        for a, b in W.blocks(batch.column(1), BLOCK_BYTES // 4):
+            part = batch.slice(a, b - a)
+            held.append(part)
+            size += int(W.buffer(part.column(1))[1][-1])
+            if size >= BLOCK_BYTES:
+                yield block()
+                n, held, size = n + 1, [], 0
+    if held:
+        yield block()
+
+
+def _unpacked(data: pa.Scalar) -> pa.Table:
+    with pa.ipc.open_stream(data.as_buffer()) as stream:
+        return stream.read_all().combine_chunks()
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """64-bit counts, byte plane by byte plane."""
+    return counts.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _ask(order: int, shards: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield of(b, _unpacked(data))
+
+    def of(b: int, block: pa.Table) -> pa.RecordBatch:
+        train = block.column("train").to_numpy().astype(bool)
+        keys, there, at = grams(_one(block.column("text")), order, bits)
         weight = np.repeat(train, np.diff(at))
         rows: list[tuple] = []
-        b = block.column("block")[0].as_py()
         for n, (u, place) in enumerate(_distinct(keys, there)):
             w = weight[there[n]].astype(np.float64)
             if n == 0:
                 w = np.append(w, train.sum())  # the start comes before each training text
             count = np.bincount(place, weights=w, minlength=len(u)).astype("<u4")
-            cut = _cuts(u, shards)
+            cut = _cuts(u, shards, bits if n else 64)
             rows += [(b, n + 1, n * shards + s, _pack(u[x:y]), count[x:y].tobytes()) for s, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "n", "shard", "keys", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "n", "shard", "keys", "counts"])
 
     return run
 
@@ -118,11 +175,10 @@ def _answer(messages: pa.Table) -> pa.Table:
     u, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, weights=count, minlength=len(u))
     words = np.where(u == START, 0, total) if order[0] == 1 else np.zeros(1)
-    back = total[place].astype("<u4")
-    out = [back[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+    out = [_pack_counts(total[place[a:b]].astype("<u8")) for a, b in zip(ends, ends[1:], strict=False)]
     return pa.Table.from_arrays(
         [
-            pa.array([*blocks, -1], pa.int32()),
+            pa.array([*blocks, -1], pa.int64()),
             pa.array([*order, 0], pa.int32()),
             pa.array([*shard, 0], pa.int32()),
             pa.array([*out, b""], pa.binary()),
@@ -136,8 +192,8 @@ def _answer(messages: pa.Table) -> pa.Table:
 class Automaton:
     """States 0 (the root) and one for each seen context; arcs in the order of their n-gram's key."""
 
-    def __init__(self, keys: list[np.ndarray], there: list[np.ndarray], distinct: list, counts: list[np.ndarray], total: int, vocabulary: int, kappa: float):
-        order = len(keys)
+    def __init__(self, keys: list[np.ndarray], there: list[np.ndarray], distinct: list, counts: list[np.ndarray], total: int, vocabulary: int, kappa: tuple[float, ...], bits: int):
+        order, self.bits = len(keys), bits
         known = [c > 0 for c in counts]
         # states: the seen grams shorter than the order, after the root
         base = np.concatenate(([1], 1 + np.cumsum([k.sum() for k in known[:-1]]))).astype(np.int64)
@@ -160,14 +216,14 @@ class Automaton:
                     first = np.isin(example, self._starts)
                     before[first] = np.searchsorted(distinct[0][0], START)
                 h = counts[i - 1][before].astype(np.float64)
-                p = (counts[i] + kappa * p[suffix]) / (h + kappa)
+                p = (counts[i] + kappa[i - 1] * p[suffix]) / (h + kappa[i - 1])
                 follow = suffix
             else:
                 follow = np.arange(len(u))
             if i < order - 1:
                 s = self.state[i][known[i]]
                 self.context[s] = u[known[i]]
-                self.fail_weight[s] = np.log10(kappa / (counts[i][known[i]] + kappa))
+                self.fail_weight[s] = np.log10(kappa[i] / (counts[i][known[i]] + kappa[i]))
                 self.fail[s] = 0 if i == 0 else self.state[i - 1][follow[known[i]]]
                 to = self.state[i]
             else:
@@ -182,10 +238,10 @@ class Automaton:
     _starts: np.ndarray
 
     @classmethod
-    def of_block(cls, keys, there, at, distinct, counts, total, vocabulary, kappa) -> Automaton:
+    def of_block(cls, keys, there, at, distinct, counts, total, vocabulary, kappa, bits) -> Automaton:
         self = cls.__new__(cls)
         self._starts = at[:-1]
-        self.__init__(keys, there, distinct, counts, total, vocabulary, kappa)
+        self.__init__(keys, there, distinct, counts, total, vocabulary, kappa, bits)
         return self
 
     @staticmethod
@@ -210,7 +266,7 @@ class Automaton:
                 while len(todo):
                     here = s[todo]
                     word = w[todo]
-                    key = np.where(here == 0, word, W.mix(self.context[here] * _U(W._BASE) + word))
+                    key = np.where(here == 0, word, _longer(self.context[here], word, self.bits))
                     i = np.minimum(np.searchsorted(keys, key), last)
                     hit = keys[i] == key if len(keys) else np.zeros(len(todo), dtype=bool)
                     got = todo[hit]
@@ -228,19 +284,20 @@ class Automaton:
         return result
 
 
-def _walk(order: int, shards: int, kappa: float, total: int, vocabulary: int):
+def _walk(order: int, shards: int, kappa: tuple[float, ...], total: int, vocabulary: int, bits: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = block.column("text").combine_chunks()
-        keys, there, at = grams(texts, order)
+        block = _unpacked(_one(block.column("rows"))[0])
+        keys, there, at = grams(_one(block.column("text")), order, bits)
         distinct = _distinct(keys, there)
         counts = []
         by = sorted(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True))
         for n in range(order):
-            got = np.frombuffer(b"".join(c for s, c in by if s // shards == n), dtype="<u4")
+            got = [_unpack_counts(c) for s, c in by if s // shards == n]
+            got = np.concatenate(got) if got else np.empty(0, "<u8")
             if len(got) != len(distinct[n][0]):
                 raise ValueError("answers do not fit the block's questions")
             counts.append(got.astype(np.float64))
-        model = Automaton.of_block(keys, there, at, distinct, counts, total, vocabulary, kappa)
+        model = Automaton.of_block(keys, there, at, distinct, counts, total, vocabulary, kappa, bits)
         known = counts[0][distinct[0][1][:-1]]
         base = np.log10((known + 1.0) / (total + vocabulary + 1))
         begin = at[:-1]
@@ -260,28 +317,27 @@ def _walk(order: int, shards: int, kappa: float, total: int, vocabulary: int):
     return run
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, kappa: float = KAPPA) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", kappa: tuple[float, ...] = KAPPA) -> DataFrame:
     """``id_col, train, n_tokens, n_known, train_tokens, base_score, score`` for every row of docs.
 
-    ``train`` says which texts the model learns from (null: not).  A null or empty text is its end alone.  Rows are
-    scored one by one, so repeated rows and ids are no matter.  An empty table gives no rows; without any training
-    text every token is unknown and the model has one state.
+    ``train`` says which texts the model learns from (null: not); its order is one more than there are weights in
+    ``kappa``.  A null or empty text is its end alone.  Rows are scored one by one, so repeated rows and ids are no
+    matter.  An empty table gives no rows; without any training text every token is unknown and the model has one state.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    order = len(kappa) + 1
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    size, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    size = size or 0
-    blocks = max(ceil(size / BLOCK_BYTES), min(48, n), 1)
-    shards = max(ceil(size / SHARD_BYTES), min(48, n), 1)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     shelf = Shelf(spark, "lm")
-    asked = rows.groupBy("block").applyInArrow(_ask(order, shards), "block int, n int, shard int, keys binary, counts binary")
-    answers = shelf.put(asked.groupBy("shard").applyInArrow(_answer, "block int, n int, shard int, counts binary, tokens long, distinct long"))
+    blocks = shelf.put(rows.mapInArrow(frugal(_pack_blocks), "block long, bytes long, rows binary"))
+    size = blocks.agg(F.sum("bytes")).first()[0] or 0
+    shards = max(ceil(size / SHARD_BYTES), SHARDS)
+    bits = min(64, size.bit_length() + SPARE)
+    asked = blocks.select("block", "rows").mapInArrow(frugal(_ask(order, shards, bits)), "block long, n int, shard int, keys binary, counts binary")
+    answers = shelf.put(asked.groupBy("shard").applyInArrow(_answer, "block long, n int, shard int, counts binary, tokens long, distinct long"))
     total, vocabulary = answers.where("block = -1").agg(F.sum("tokens"), F.sum("distinct")).first()
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of the first pass
     schema = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    walked = rows.groupBy("block").cogroup(answers.where("block >= 0").select("block", "shard", "counts").groupBy("block")).applyInArrow(_walk(order, shards, kappa, total or 0, vocabulary or 0), schema)
+    walk = _walk(order, shards, kappa, total or 0, vocabulary or 0, bits)
+    walked = blocks.groupBy("block").cogroup(answers.where("block >= 0").select("block", "shard", "counts").groupBy("block")).applyInArrow(walk, schema)
     return walked.withColumnRenamed("id", id_col)
