@@ -22,9 +22,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
     from .shelf import Shelf
 
-    path = Shelf(spark, "warc").place()
+    shelf = Shelf(spark, "warc")
+    path = shelf.place()
     warc.write(table(spark, sf_dir, "pages"), path)
-    rows = warc.transactions(warc.records(spark, path).drop("payload")).where("response is not null")
+    rows = shelf.put(warc.records(spark, path).drop("payload"))  # the archives are read once; transactions() takes the records twice
+    rows = warc.transactions(rows).where("response is not null")
     fields = F.col("metadata")[0]["fields"]
     return rows.select(
         fields["page-id"].cast("long").alias("page_id"),

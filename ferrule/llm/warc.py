@@ -15,9 +15,10 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shelf import bounded_batches
@@ -58,16 +59,16 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-4]], pa.binary())], names=["value"])  # the writer ends it
 
     for batch in batches:
-        for page, url, payload, digest, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for page, url, payload, digest, turn, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             uri = _one_line(url or "")
-            own = record_id("response", page, url, digest)
+            own = record_id("response", page, url, digest, turn)
             said = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
             http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-            revisit = first is not None and (first, first_url) != (page, url)
+            revisit = first is not None and (first, first_url, 1) != (page, url, turn)
             if not revisit:
                 new = [record("response", own, uri, http + payload, "application/http;msgtype=response", WARC_Payload_Digest=said)]
             else:
-                to = record_id("response", first, first_url, digest)
+                to = record_id("response", first, first_url, digest, 1)
                 new = [record("revisit", own, uri, http, "application/http;msgtype=response", WARC_Payload_Digest=said, WARC_Profile=PROFILE, WARC_Refers_To=to)]
             host, _, path = uri.partition("://")[2].partition("/")
             ask = f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()
@@ -88,36 +89,56 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     A null payload or URL is empty.  Of captures with equal payloads of LEAST_REVISIT bytes or more, that with the
     largest id (then the largest URL) is the response and the others revisit it; where all their ids are null, all
-    are responses.  Rows that repeat id, URL and payload are one capture.  An empty table writes no archive.
+    are responses.  Rows that repeat id, URL and payload are captures of their own, the first of which stands for them
+    where another would be revisited.  An empty table writes no archive.
     """
     bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     first = rows.where((F.octet_length("payload") >= LEAST_REVISIT) & F.col("page").isNotNull()).groupBy("digest").agg(F.max(F.struct("page", "url")).alias("first"))
+    again = rows.groupBy("page", "url", "digest").count().where("count > 1").drop("count")
+    rows = rows.withColumn("turn", F.lit(1))
+    if not again.isEmpty():  # rows that are all the same are counted, and so numbered without meeting in a task
+        same = reduce(Column.__and__, (F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in again.columns))
+        one = rows.alias("r").join(again.alias("a"), same, "left_semi").groupBy("page", "url", "payload", "digest").count()
+        one = one.select("page", "url", "payload", "digest", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("turn"))
+        rows = rows.alias("r").join(again.alias("a"), same, "left_anti").union(one)
     # a frequent payload is a hot key of this join, which adaptive execution splits; its other side has a row a payload
-    rows = rows.join(first, "digest", "left").select("page", "url", "payload", "digest", "first.page", "first.url").toDF("page", "url", "payload", "digest", "first", "first_url")
+    rows = rows.join(first, "digest", "left").select("page", "url", "payload", "digest", "turn", "first.page", "first.url")
+    rows = rows.toDF("page", "url", "payload", "digest", "turn", "first", "first_url")
     values = rows.mapInArrow(_archives, "value binary").select(F.col("value").cast("string"))
     values.write.option("maxRecordsPerFile", 1).option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive, compressed or not."""
+    """Headers (names in lower case) and block of each record of an archive, compressed or not.
+
+    An archive that is cut off or damaged gives the records before that place: one without the end of its headers, with
+    no valid Content-Length or with fewer bytes than that is not given, nor is what follows it.
+    """
     while data[:2] == b"\x1f\x8b":
         out, rest = [], data
         while rest[:2] == b"\x1f\x8b":  # one member or many
             z = zlib.decompressobj(31)
-            out.append(z.decompress(rest))
+            try:
+                out.append(z.decompress(rest))
+            except zlib.error:
+                break
             rest = z.unused_data
         data = b"".join(out)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        size = headers.get("content-length", "")
+        if not (size.isascii() and size.isdigit()) or end + 4 + int(size) > len(data):
+            return
+        yield headers, data[end + 4 : end + 4 + int(size)]
+        at = end + 4 + int(size)
 
 
 def _fields(block: bytes) -> dict[str, str]:
