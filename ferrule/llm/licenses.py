@@ -40,10 +40,23 @@ SENTENCES = {
     "gpl2-1": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-2": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-3": "See the GNU General Public License for more details.",
+    "agpl-1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3": "See the GNU Affero General Public License for more details.",
+    "lgpl21-1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-2": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-3": "See the GNU Lesser General Public License for more details.",
     "mpl-1": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "mpl-2": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "mpl-2s": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "isc-1": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-2": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "bsd-5": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "zlib-1": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-2": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-3": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-1": "Distributed under the Boost Software License, Version 1.0.",
+    "epl-1": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "unlicense-1": "This is free and unencumbered software released into the public domain.",
     "ccbync4-line": "Licensed under CC BY-NC 4.0.",
     "ccby4-line": "Licensed under CC BY 4.0.",
@@ -67,6 +80,12 @@ RULES = (
     ("GPL-3.0", ("gpl3-line",)),
     ("GPL-3.0-or-later", ("gpl-1", "gpl-2", "gpl-3")),
     ("GPL-2.0-or-later", ("gpl2-1", "gpl-2", "gpl-3")),
+    ("AGPL-3.0-or-later", ("agpl-1", "gpl-2", "agpl-3")),
+    ("LGPL-2.1-or-later", ("lgpl21-1", "lgpl-2", "lgpl-3")),
+    ("LGPL-3.0-or-later", ("lgpl3-1", "gpl-2", "lgpl-3")),
+    ("Zlib", ("zlib-1", "zlib-2", "zlib-3")),
+    ("BSL-1.0", ("boost-1",)),
+    ("EPL-2.0", ("epl-1",)),
     ("MPL-2.0", ("mpl-1", "mpl-2")),
     ("MPL-2.0", ("mpl-1", "mpl-2s")),
     ("ISC", ("isc-1",)),
@@ -79,7 +98,7 @@ RULES = (
     ("CC0-1.0", ("cc0-1",)),
     ("all-rights-reserved", ("reserved",)),
 )
-ANCHORS = "licen[sc]|copyright|rights reserved|redistribution|warrant|free software|unencumbered software|copy of the mpl|permission".replace(" ", r"[\s#*;/-]+")
+ANCHORS = "licen[sc]|copyright|rights reserved|redistribution|warrant|free software|unencumbered software|copy of the mpl|permission|held liable".replace(" ", r"[\s#*;/-]+")
 #: What ends a sentence, before white space.
 STOPS = r"([.!?]|:(?![\s#*;/-]+(?i:you[\s#*;/-]+can[\s#*;/-]+redistribute)))[ \t\n\r]+"
 #: The address in the middle of an Apache notice, which has no stop behind it.
@@ -117,7 +136,8 @@ def _sequence(text: Column, end: str) -> Column:
 
 
 def recognise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of docs, with ``sentence_ids`` and ``license_ids``, both arrays of strings.
+    """All columns of docs, with ``sentence_ids`` and ``license_ids``, both arrays of strings, in place of columns of
+    these names that docs has.
 
     sentence_ids is the longer of the two sequences of known sentences (that by lines if both are as long);
     license_ids has the licences of all rules that hold, in order.  Both are empty for null and empty texts and where
@@ -126,8 +146,10 @@ def recognise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col(text_col).cast("string")
     some = text.rlike(f"(?i){ANCHORS}")
     none = F.array().cast("array<string>")
-    rows = docs.withColumn("__lines", F.when(some, _sequence(text, "[\n\r]+")).otherwise(none)).withColumn("__joined", F.when(some, _sequence(text, "(?!)")).otherwise(none))
-    told = [F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" ")) for c in ("__lines", "__joined")]
+    # one column of docs' own fields and one of the sequences, so that no name of docs' is in the way
+    sequences = [F.when(some, _sequence(text, end)).otherwise(none) for end in ("[\n\r]+", "(?!)")]
+    rows = docs.select(F.struct(*docs.columns).alias("docs"), *(x.alias(c) for x, c in zip(sequences, ("by_line", "joined"), strict=True)))
+    told = [F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" ")) for c in ("by_line", "joined")]
     by_license: dict[str, list[tuple[str, ...]]] = {}
     for name, ids in RULES:
         by_license.setdefault(name, []).append(ids)
@@ -140,6 +162,7 @@ def recognise(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return out
 
     found = [F.when(holds(n) & ~holds(WIDER[n]) if n in WIDER else holds(n), F.lit(n)) for n in sorted(by_license)]
-    rows = rows.withColumn("license_ids", F.when(F.size("__lines") + F.size("__joined") > 0, F.filter(F.array(*found), lambda x: x.isNotNull())).otherwise(none))
-    rows = rows.withColumn("sentence_ids", F.when(F.size("__joined") > F.size("__lines"), F.col("__joined")).otherwise(F.col("__lines")))
-    return rows.select(*docs.columns, "sentence_ids", "license_ids")
+    ids = F.when(F.size("by_line") + F.size("joined") > 0, F.filter(F.array(*found), lambda x: x.isNotNull())).otherwise(none)
+    longer = F.when(F.size("joined") > F.size("by_line"), F.col("joined")).otherwise(F.col("by_line"))
+    names = [c for c in docs.columns if c not in ("sentence_ids", "license_ids")]
+    return rows.select(*(F.col("docs")[c].alias(c) for c in names), longer.alias("sentence_ids"), ids.alias("license_ids"))

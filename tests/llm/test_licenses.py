@@ -40,3 +40,27 @@ def test_every_rule_holds_however_its_notice_is_laid_out(found):
 
 def test_all_sentences_are_known(found):
     assert [(ids, r.sentence_ids, t) for r, _, ids, t in found if not {*ids} <= {*r.sentence_ids}] == []
+
+
+def test_columns_of_any_name(spark):
+    rows = [("Released under the MIT License.", "mine", "a", ["x"])]
+    out = licenses.recognise(spark.createDataFrame(rows, "text string, `__lines` string, joined string, license_ids array<string>"))
+    assert sorted(out.columns) == ["__lines", "joined", "license_ids", "sentence_ids", "text"]
+    row = out.first()
+    assert (row["__lines"], row.joined, row.license_ids, row.sentence_ids) == ("mine", "a", ["MIT"], ["mit-line"])
+
+
+def test_more_notices(spark):
+    warranty = "but WITHOUT ANY WARRANTY; without even the implied\nwarranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    notices = {
+        "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n"
+        f"(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\n{warranty}  See the\nGNU Affero General Public License for more details.",
+        "LGPL-2.1-or-later": "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.\n#\n"
+        "# This library is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU\n# Lesser General Public License for more details.",
+        "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\n"
+        "including commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin must not be misrepresented.",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)",
+        "EPL-2.0": "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/\n\nMore text here.",
+    }
+    rows = spark.createDataFrame(list(notices.items()), "name string, text string")
+    assert {r.name: r.license_ids for r in licenses.recognise(rows).collect()} == {n: [n] for n in notices}
