@@ -80,6 +80,6 @@ def pool_items(pools: DataFrame, items: DataFrame, place: str, filter_of: DataFr
 def nearest_core(points: DataFrame, region: str, lat: str, lon: str, shares: DataFrame, place: str, centres: DataFrame, into: str) -> DataFrame:
     """points with the distance to the nearest core city of their region; null where it has none."""
     core = shares.where(F.col("before") < CORE_SHARE).join(centres.select(place, "loc_lat", "loc_lon"), place).select(region, "loc_lat", "loc_lon")
-    core = core.groupBy(region).agg(F.array_sort(F.collect_list(F.struct("loc_lat", "loc_lon"))).alias("__core"))
-    km = F.transform("__core", lambda c: haversine_km(F.col(lat), F.col(lon), c["loc_lat"], c["loc_lon"]))
-    return points.join(core, region, "left").withColumn(into, F.array_min(km)).drop("__core")
+    core = core.groupBy(region).agg(F.array_sort(F.collect_list(F.struct("loc_lat", "loc_lon"))).alias("__cores"))
+    km = F.transform("__cores", lambda c: haversine_km(F.col(lat), F.col(lon), c["loc_lat"], c["loc_lon"]))
+    return points.join(core, region, "left").withColumn(into, F.array_min(km)).drop("__cores")
