@@ -47,15 +47,25 @@ def stratified_pick(pool: DataFrame, targets: DataFrame, strata: list[str], quer
 
     As targets are rounded stratum by stratum, their sum can differ from the number asked for by a few.
 
-    A text that several strata have goes to the rarest of them.  This gives what choosing stratum by stratum gives, up
-    to the order within a text, in two windows and without a loop.
+    Rounds in which all strata pick at once: a text that several pick goes to the rarest of them, and the others pick
+    again without it, until no text is picked twice.  As all texts prefer rarer strata, this ends as choosing stratum by
+    stratum does.  What a round collects is at most the sum of the targets.
     """
-    sizes = pool.groupBy(*strata).agg(F.count("*").alias("__size"))
-    rows = pool.join(sizes, strata).join(targets, strata).withColumn("__h", hash_order(seed, query))
-    once = Window.partitionBy(text).orderBy("__size", *strata, "__h", query)
-    rows = rows.withColumn("__t", F.row_number().over(once)).where("__t = 1")
-    pick = Window.partitionBy(*strata).orderBy("__h", query)
-    return rows.withColumn("__n", F.row_number().over(pick)).where("__n <= target").drop("__size", "__h", "__t", "__n", "target")
+    spark = pool.sparkSession
+    sizes = pool.groupBy(*strata).agg(F.count("*").alias("__size")).withColumn("__o", F.row_number().over(Window.orderBy("__size", *strata)))  # a row a stratum
+    rows = pool.join(sizes.drop("__size"), strata).join(targets, strata).withColumn("__h", hash_order(seed, query))
+    once = Window.partitionBy("__o", text).orderBy("__h", query)
+    rows = rows.withColumn("__t", F.row_number().over(once)).where("__t = 1").drop("__t")
+    pick = Window.partitionBy("__o").orderBy("__h", query)
+    lost: list = []
+    kind = f"__o int, `{text}` {pool.schema[text].dataType.simpleString()}"
+    while True:
+        left = rows.join(spark.createDataFrame(lost, kind), ["__o", text], "left_anti") if lost else rows
+        picked = left.withColumn("__n", F.row_number().over(pick)).where("__n <= target").drop("__n")
+        twice = picked.select("__o", text).withColumn("__first", F.min("__o").over(Window.partitionBy(text))).where("__o > __first").drop("__first").collect()
+        if not twice:
+            return picked.select(*pool.columns)
+        lost += twice
 
 
 def native_only(pairs: DataFrame, corpus: DataFrame, query: str, item: str) -> DataFrame:

@@ -137,3 +137,21 @@ def test_vectors_are_made_once(spark, tmp_path):
     assert cache.ensure(spark.createDataFrame([(1,), (2,), (2,)], "k long"), encode).count() == 3
     got = cache.ensure(spark.createDataFrame([(3,), (1,), (None,)], "k long"), encode).collect()
     assert calls == [[1, 2], [3]] and {(r.k, tuple(r.embedding or ())) for r in got} == {(3, (3.0,)), (1, (1.0,)), (None, ())}
+
+
+def test_strata_choose_one_after_another(spark):
+    import hashlib
+
+    rows = [(i, f"t{i % 23}", "abc"[(i * i) % 3 if i % 5 else 2]) for i in range(90)]
+    pool = spark.createDataFrame(rows, "q long, t string, s string")
+    targets = spark.createDataFrame([("a", 9), ("b", 9), ("c", 9)], "s string, target long")
+    got = {(r.q, r.s) for r in split.stratified_pick(pool, targets, ["s"], "q", "t", 13).collect()}
+    used, want = set(), set()
+    for s in sorted("abc", key=lambda s: (sum(r[2] == s for r in rows), s)):
+        n = 0
+        for q, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: (hashlib.md5(f"13|{r[0]}".encode()).hexdigest(), r[0])):
+            if t not in used and n < 9:
+                used.add(t)
+                want.add((q, s))
+                n += 1
+    assert got == want
