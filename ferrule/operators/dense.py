@@ -14,6 +14,8 @@ from . import topk
 
 #: Vectors of queries that go round at once.
 QUERY_SLICE = 2048
+#: Of these, as many are multiplied with a batch at a time.
+QUERY_BLOCK = 64
 #: Vectors of a place in a block.
 BLOCK = 1024
 
@@ -37,14 +39,19 @@ def dense_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, vec
                     continue
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                scores = np.round(np.stack([_sums(v, q) for q in asks]), digits) + 0.0
-                for i, s in enumerate(scores):
-                    keep = ids != names[i] if exclude_self else slice(None)
-                    s, own = s[keep], ids[keep]
-                    if best[i] is not None:
-                        s, own = np.concatenate((best[i][0], s)), np.concatenate((best[i][1], own))
-                    at = np.lexsort((own, -s))[:k]
-                    best[i] = s[at], own[at]
+                for lo in range(0, len(names), QUERY_BLOCK):
+                    scores = np.round(_products(asks[lo : lo + QUERY_BLOCK], v), digits) + 0.0
+                    for i, s in enumerate(scores, lo):
+                        # what may be among the first k: ties with the last of them stay until ids decide
+                        least = best[i][0][-1] if best[i] is not None and len(best[i][0]) == k else -np.inf
+                        if len(s) > k + 1:
+                            least = max(least, np.partition(s, len(s) - k - 1)[len(s) - k - 1])
+                        keep = np.flatnonzero((s >= least) & (ids != names[i])) if exclude_self else np.flatnonzero(s >= least)
+                        s, own = s[keep], ids[keep]
+                        if best[i] is not None:
+                            s, own = np.concatenate((best[i][0], s)), np.concatenate((best[i][1], own))
+                        at = np.lexsort((own, -s))[:k]
+                        best[i] = s[at], own[at]
             got = [(names[i], x, float(y)) for i, b in enumerate(best) if b is not None for y, x in zip(*b, strict=True)]
             if got:
                 q, x, y = zip(*got, strict=True)
@@ -52,11 +59,11 @@ def dense_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, vec
 
         return run
 
-    def _sums(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def _products(asks: np.ndarray, v: np.ndarray) -> np.ndarray:
         # one component after another, so that the sum does not depend on how rows are batched
-        total = np.zeros(len(v))
+        total = np.zeros((len(asks), len(v)))
         for j in range(v.shape[1]):
-            total += v[:, j] * q[j]
+            total += asks[:, j, None] * v[:, j]
         return total
 
     out = None
