@@ -37,7 +37,7 @@ from . import words as W
 from .shelf import Shelf, bounded_batches, frugal
 
 #: Weights of the priors of orders 2 and up; their number gives the model's order.
-KAPPA = (300.0, 10.0)
+KAPPA = (1000.0, 50.0)
 #: Text bytes in a block and for each shard.
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
