@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import words as W
-from .shelf import bounded_batches, frugal
+from .shelf import CACHES, bounded_batches, frugal
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 2_000_000
@@ -141,6 +141,9 @@ def _replay(ranks_path: str, pattern: str) -> tuple[MergeReplay, dict[str, bytes
     return MergeReplay.from_file(ranks_path), {}
 
 
+CACHES.append(_replay)
+
+
 def encoder(ranks_path: str, pattern: str, id_col: str, text_col: str, with_decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -179,7 +182,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, ids array<int>" + ", decoded binary" * with_decoded
-    return docs.select(id_col, text_col).mapInArrow(frugal(encoder(ranks_path, pattern, id_col, text_col, with_decoded)), schema)
+    return docs.select(id_col, text_col).mapInArrow(frugal(encoder(ranks_path, pattern, id_col, text_col, with_decoded), _replay), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -34,12 +34,20 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """The function of a task, which hands the memory that it no longer uses back to the machine at its end: Python
-    workers go on from task to task, and an executor's limit counts what they hold."""
+#: What worker processes keep from task to task, as functions with a cache.
+CACHES: list = []
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cache=None):
+    """The function of a task, which drops what other operators' tasks have kept, and at its end hands the memory that
+    it no longer uses back to the machine: Python workers go on from task to task, and an executor's limit counts
+    what they hold."""
 
     @wraps(run)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in CACHES:
+            if other is not cache:
+                other.cache_clear()
         try:
             yield from run(batches)
         finally:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shelf import bounded_batches, frugal
+from .shelf import CACHES, bounded_batches, frugal
 
 MAGIC = b"FRLIDS01"
 SHARD_IDS = 4_000_000
@@ -273,6 +273,9 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+CACHES.append(_encoder)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text and writes the shards into the folder ``path``.
 
@@ -311,7 +314,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("k").sortWithinPartitions("k", "text")
-    shards = rows.mapInArrow(frugal(run), "value binary").select(F.col("value").cast("string"))
+    shards = rows.mapInArrow(frugal(run, _encoder), "value binary").select(F.col("value").cast("string"))
     shards.write.option("maxRecordsPerFile", 1).text(path)
 
 
@@ -337,7 +340,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "task", "place", "ordinal", "start_in_shard", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(frugal(run), "key long, task long, place long, ordinal long, start_in_shard long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(frugal(run, _encoder), "key long, task long, place long, ordinal long, start_in_shard long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
