@@ -28,7 +28,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the digest of the bytes decoded from them."""
+    """Token ids of every document, and the digest of the bytes decoded from them.
+
+    This is the last stage: of the documents' columns only doc_id is left.
+    """
     ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_decoded=True)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -44,7 +47,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shelf = Shelf(spark, "pipeline")
     out = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, out, sf_dir)
+        before, out = out, stage(spark, out, sf_dir)
         if i < len(STAGES) - 1:
             out = shelf.put(out)
+            if i:
+                shelf.drop(before)
     return out

@@ -12,11 +12,12 @@ Only what is connected is asked for, so a pair that is connected already need no
 compared with the leader that most of its nodes share; then the classes outside the label that holds most of a large
 node with another leader, of that label.  Of the nodes that still hold several labels,
 
-- one of up to SMALL classes is compared exhaustively;
+- one of up to SMALL classes is compared exhaustively by itself;
 - in a larger one with a label that holds most of it, each stray, a class of another label, is compared with all
-  classes of that label, and the strays are compared with each other;
-- in any other, and where there are more than SMALL strays, those go down to the next depth in DEPTHS.  What is still
-  large at the last one is joined where nodes share classes, and each such group is compared exhaustively.
+  classes of that label, and then the node is that of its strays;
+- one of up to LARGE classes is compared exhaustively too, but nodes that share classes are joined before, so that what
+  several trees put together is compared once;
+- the classes of a still larger one go down to the next depth in DEPTHS; at the last one it is compared exhaustively.
 
 All comparisons are exact, on full sets, with no limit to partners.  They are done in tiles: two lists of up to ROWS
 classes and about MASS shingles each, so that no group is in one task.  A tile gives links enough to connect what its
@@ -41,8 +42,10 @@ TREES = 16
 #: Minwise tokens that a tree chooses from.
 POOL = 16
 DEPTHS = (4, 8, 12)
-#: Most classes in a node that is compared exhaustively.
+#: Most classes in a node that is compared exhaustively by itself.
 SMALL = 32
+#: Most classes in a node that is compared exhaustively with those that share classes with it: some hundred tiles.
+LARGE = 20_000
 #: Classes and shingles on a side of a tile, about.
 ROWS = 512
 MASS = 1_000_000
@@ -353,21 +356,25 @@ def _connected(classes: DataFrame, source: DataFrame, shelf: Shelf, k: int, num:
         mixed = shelf.put(again.where("kind <> 'stray' or label <> main"))
         strays = mixed.where("kind = 'stray'")
     tiles = [_exhaustive(mixed.where("kind = 'small'"), num, den), _against(strays, root, classes)]
-    large = mixed.where("kind <> 'small'").select("path", "c", "n", "label")
-    for depth, above in enumerate(DEPTHS):
+    large, between = mixed.where("kind <> 'small'").select("path", "c", "n", "label"), []
+    for depth, below in enumerate(DEPTHS):
         if depth:
-            large = walked(large.join(classes.select("c", "sig"), "c").select("c", "n", "sig", "path"), above - DEPTHS[depth - 1])
+            large = walked(large.join(classes.select("c", "sig"), "c").select("c", "n", "sig", "path"), below - DEPTHS[depth - 1])
             large = _named(large, root, "c")
         several = large.groupBy("path").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("path", "size")
         large = shelf.put(large.join(several, "path"))
         if large.isEmpty():
             break
         tiles.append(_exhaustive(large.where(F.col("size") <= SMALL), num, den))
-        large = large.where(F.col("size") > SMALL).drop("size")
-    else:
-        ties = large.join(large.groupBy("path").agg(F.min("c").alias("b")), "path").select(F.col("c").alias("a"), "b")
+        between.append(large.where((F.col("size") > SMALL) & ((F.col("size") <= LARGE) | F.lit(below == DEPTHS[-1]))).drop("size"))
+        large = large.where(F.col("size") > LARGE).drop("size")
+        if large.isEmpty():
+            break
+    if between:
+        rows = reduce(DataFrame.union, between)
+        ties = rows.join(rows.groupBy("path").agg(F.min("c").alias("b")), "path").select(F.col("c").alias("a"), "b")
         groups = components(ties, shelf).withColumnRenamed("root", "g")
-        tiles.append(_all_with_all(large.select("c", "n", "label").distinct().join(groups, "c")))
+        tiles.append(_all_with_all(rows.select("c", "n", "label").distinct().join(groups, "c")))
     compare(reduce(DataFrame.union, tiles))
     shelf.drop(nodes, sets, mixed)
     return root

@@ -54,3 +54,8 @@ def test_copies_close_to_the_threshold_are_all_pairs(spark):
         rows.append((i, " ".join(w)))
     found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(rows, 4)
+
+
+def test_single_links_where_nodes_go_down_to_the_last_depth(spark, monkeypatch):
+    monkeypatch.setattr(near, "LARGE", 8)
+    test_single_links_among_many_that_are_nearly_linked(spark, monkeypatch)
