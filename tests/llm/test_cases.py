@@ -99,3 +99,11 @@ def test_vectors(spark):
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(vectors, F.col("vec_id") % 3 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2)]
     assert ann.search(vectors.limit(0), F.col("vec_id") % 3 == 0).isEmpty()
+
+
+def test_decode(spark):
+    texts = [(1, "héllo wörld 123"), (2, ""), (None, "null id")]
+    ids = bpe.encode(spark.createDataFrame(texts, "doc_id long, text string"), RANKS, public_tokenizers.PATTERN)
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(ids, RANKS).collect()}
+    assert got == {i: t.encode() for i, t in texts}
+    assert bytes(bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), RANKS).first().decoded) == b""
