@@ -21,7 +21,8 @@ def shared(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine, a temporary folder of it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.conf.get("spark.master", "").startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ferrule-")
         spark.conf.set("spark.checkpoint.dir", found)
