@@ -4,6 +4,7 @@ columns, so that SQL knows what is to be found in them."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,9 +20,10 @@ def _place(spark: SparkSession, name: str) -> str:
     """A folder of one run below the one that the cluster's executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="ferrule-")  # one machine, as in tests
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="ferrule-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
