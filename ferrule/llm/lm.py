@@ -24,13 +24,14 @@ TB, BLOCK_BYTES and SHARD_BYTES are to be raised with the executors' memory.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -317,6 +318,13 @@ def _walk(order: int, shards: int, kappa: tuple[float, ...], total: int, vocabul
     return run
 
 
+def _drop_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the files of a shuffle once the driver no longer refers to it, which it notices only when it collects
+    garbage.  The questions are the largest part of the disk that is used, and are done with before the walk begins."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", kappa: tuple[float, ...] = KAPPA) -> DataFrame:
     """``id_col, train, n_tokens, n_known, train_tokens, base_score, score`` for every row of docs.
 
@@ -337,6 +345,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     asked = blocks.select("block", "rows").mapInArrow(frugal(_ask(order, shards, bits)), "block long, n int, shard int, keys binary, counts binary")
     answers = shelf.put(asked.groupBy("shard").applyInArrow(_answer, "block long, n int, shard int, counts binary, tokens long, distinct long"))
     total, vocabulary = answers.where("block = -1").agg(F.sum("tokens"), F.sum("distinct")).first()
+    _drop_shuffles(spark)
     schema = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     walk = _walk(order, shards, kappa, total or 0, vocabulary or 0, bits)
     walked = blocks.groupBy("block").cogroup(answers.where("block >= 0").select("block", "shard", "counts").groupBy("block")).applyInArrow(walk, schema)
