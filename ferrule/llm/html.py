@@ -6,8 +6,8 @@ after another: nodes that match are aligned in turn; a node that only one side h
 match one another, also in groups of two or three, are folded into one that repeats; texts that differ become a slot,
 equal texts stay a constant.  Alignment of two wrappers is the same step, so wrappers of parts of a host's pages are
 merged in a tree: parts of about PART pages by their hash, then FAN parts at a time.  Pages and parts are taken in the
-order of their hashes, so that the wrapper does not depend on how the table is dealt.  An element of a wrapper keeps
-the WIDEST children that were seen most, so its size has a bound whatever the pages hold.
+order of their hashes, so that the wrapper does not depend on how the table is dealt.  A wrapper keeps every child that
+was seen, on however few pages: its size is that of what differs in a host's pages, of long texts only the digest.
 
 The main text comes from the element to which the host's wrapper leads when, from the root on, the child with most of
 the text that varies between pages and is no link is followed, as far as an article or main element.  Where it holds
@@ -19,11 +19,15 @@ page that neither fits the wrapper nor has an article loses the wrapper's consta
 from __future__ import annotations
 
 import html
-import json
+import marshal
 import re
 from collections import Counter
-from collections.abc import Iterator
-from math import ceil
+from collections.abc import Callable, Iterator
+from functools import reduce
+from hashlib import blake2b
+from itertools import groupby, islice
+from math import ceil, isqrt
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +38,12 @@ from .shelf import Shelf, bounded_batches
 #: Pages in a part of a host, about, and parts that are merged at once.
 PART = 500
 FAN = 64
-#: Most children of an element in a wrapper.
-WIDEST = 150
+#: Characters of a text from which on a wrapper holds the text's digest.
+LONG = 80
+#: Places of a label among an element's children from which on their mask is kept while children are aligned.
+OFTEN = 32
+#: Bytes of a wrapper in a row.
+PIECE = 1 << 20
 #: Levels of a page's tree.  As in browsers, what is nested deeper is put side by side.
 DEEPEST = 100
 #: Distinct pages that a constant must have been seen on to count as part of the template.
@@ -216,7 +224,8 @@ def _marked(e: Element) -> Iterator[Element]:
 
 
 # A wrapper's node: [label, least (0 or 1), repeats (bool), pages, varying characters, children or None, constant].
-# A text slot has the label "#", no children, and its constant text or None.
+# A text slot has the label "#", no children, and its constant text (as _brief gives it) or None.  The children of a node
+# that other pages lack are packed as bytes until they are needed, a fraction of the lists' size.
 LABEL, LEAST, MANY, PAGES, MASS, KIDS, CONST = range(7)
 
 
@@ -233,17 +242,27 @@ def _flat(e: Element, out: list, link: bool) -> None:
         elif c.name in INLINE:
             _flat(c, out, link or c.name == "a")
         elif c.name not in RAW:
-            kids: list = []
-            _flat(c, kids, link)
-            kids = _narrow(fold(kids))
+            kids = _kids(c, link)
             out.append([c.label, 1, False, 1, 0 if c.out else sum(k[MASS] for k in kids), kids, None])
 
 
+def _brief(text: str) -> str:
+    """A text, or for a long one what stands for it: a line break, which no text holds, and its digest."""
+    return text if len(text) < LONG else "\n" + blake2b(text.encode(errors="surrogatepass"), digest_size=16).hexdigest()
+
+
+def _kids(e: Element, link: bool) -> list:
+    kids: list = []
+    _flat(e, kids, link)
+    for k in kids:
+        if k[KIDS] is None:
+            k[CONST] = _brief(k[CONST])
+    return fold(kids)
+
+
 def wrapper(page: str) -> list:
     """A page as the wrapper of itself."""
-    kids: list = []
-    _flat(parse(page), kids, False)
-    kids = _narrow(fold(kids))
+    kids = _kids(parse(page), False)
     return ["#root", 1, False, 1, sum(k[MASS] for k in kids), kids, None]
 
 
@@ -251,8 +270,13 @@ def _same(a: list, b: list) -> bool:
     return a[LABEL] == b[LABEL]
 
 
+def _open(node: list) -> list | None:
+    kids = node[KIDS]
+    return marshal.loads(kids) if isinstance(kids, bytes) else kids
+
+
 def _inside(node: list, out: set[str]) -> set[str]:
-    for k in node[KIDS] or ():
+    for k in _open(node) or ():
         if k[KIDS] is not None:
             out.add(k[LABEL])
             _inside(k, out)
@@ -267,23 +291,20 @@ def _alike(a: list, b: list) -> bool:
     return 4 * len(x & y) >= len(x | y)
 
 
-def _narrow(kids: list) -> list:
-    """The children that a wrapper keeps: those on most pages, of these the ones with most text."""
-    if len(kids) <= WIDEST:
-        return kids
-    return [kids[i] for i in sorted(sorted(range(len(kids)), key=lambda i: (-kids[i][PAGES], -kids[i][MASS], i))[:WIDEST])]
-
-
 def fold(kids: list) -> list:
     """Neighbouring groups of one to three nodes that match the group before them become one that repeats."""
     for width in (1, 2, 3):
         if len(kids) < 2 * width:
             break
+        labels = [k[LABEL] for k in kids]
+        equal = "".join("01"[x] for x in map(eq, labels, islice(labels, width, None)))
+        if "1" * width not in equal:  # no group's labels are those of the one before it
+            continue
         out: list = []
         for k in kids:
             out.append(k)
             tail = len(out) - 2 * width
-            if tail >= 0 and all(_alike(out[tail + i], out[tail + width + i]) for i in range(width)) and (width == 1 or any(x[LABEL] != "#" for x in out[tail : tail + width])):
+            if tail >= 0 and all(_same(out[tail + i], out[tail + width + i]) for i in range(width)) and all(_alike(out[tail + i], out[tail + width + i]) for i in range(width)) and (width == 1 or any(x[LABEL] != "#" for x in out[tail : tail + width])):
                 last = out[tail + width :]
                 del out[tail + width :]
                 for i, x in enumerate(last):
@@ -294,45 +315,92 @@ def fold(kids: list) -> list:
 
 def join(a: list, b: list, within: bool = False) -> list:
     """One node for two that match: of different pages, or neighbours within one."""
-    kids = None if a[KIDS] is None else align(a[KIDS], b[KIDS], within)
+    kids = None if a[KIDS] is None else align(_open(a), _open(b), within)
     constant = a[CONST] if a[CONST] == b[CONST] and not within else None
     pages = max(a[PAGES], b[PAGES]) if within else a[PAGES] + b[PAGES]
     return [a[LABEL], min(a[LEAST], b[LEAST]) if not within else max(a[LEAST], b[LEAST]), within or a[MANY] or b[MANY], pages, a[MASS] + b[MASS], kids, constant]
 
 
-def _optional(x: list) -> list:
-    return [x[LABEL], 0, *x[MANY:]]
+def _optional(nodes: list) -> Iterator[list]:
+    return (x if not x[LEAST] else [x[LABEL], 0, *x[MANY:KIDS], marshal.dumps(x[KIDS]) if x[KIDS] else x[KIDS], x[CONST]] for x in nodes)
+
+
+def _matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence.
+
+    Labels that only one side has cannot match and are left out first.  For the others, a row of bits for each position j
+    of y says where in x the subsequence of x from there and y from j would lose nothing without that element (Hyyro's
+    bit-vector algorithm, from the end).  Some rows are kept and those between computed again, so that the memory is
+    about len(x) * sqrt(len(y)) / 4 bytes and the time len(x) * len(y) / 64 steps.
+    """
+    both = set(x).intersection(y)
+    at, to = ([i for i, k in enumerate(z) if k in both] for z in (x, y))
+    n, m = len(at), len(to)
+    places: dict[str, list[int]] = {}
+    for p, i in enumerate(reversed(at)):
+        places.setdefault(x[i], []).append(p)
+    masks = {k: _mask(ps) for k, ps in places.items() if len(ps) >= OFTEN}
+    full = (1 << n) - 1
+    size = n // 8 + 1
+
+    def before(row: int, j: int) -> int:
+        k = y[to[j]]
+        u = row & (masks[k] if k in masks else _mask(places[k]))
+        return (row + u | row - u) & full
+
+    step = isqrt(m) + 1
+    row, marks = full, {m: full}
+    for j in range(m - 1, -1, -1):
+        row = before(row, j)
+        if j % step == 0:
+            marks[j] = row
+    found, i = [], 0
+    for start in range(0, m, step):
+        end = min(start + step, m)
+        rows = [marks[end]]
+        for j in range(end - 1, start - 1, -1):
+            rows.append(before(rows[-1], j))
+        for j in range(start, end):
+            row, k = rows[end - j], y[to[j]]
+            # past what stands only in y, equal labels do not match at once: the last of them that loses nothing does
+            past = to[j] > (to[j - 1] + 1 if j else 0)
+            if past or x[at[i]] != k:
+                spare = row.to_bytes(size, "little")
+                while i < n and (past or x[at[i]] != k) and spare[(n - 1 - i) >> 3] >> ((n - 1 - i) & 7) & 1:
+                    i += 1
+            if i < n and x[at[i]] == k:
+                found.append((at[i], to[j]))
+                i += 1
+            if i == n:
+                return found
+    return found
+
+
+def _mask(places: list[int]) -> int:
+    bits = bytearray(max(places) // 8 + 1)
+    for p in places:
+        bits[p >> 3] |= 1 << (p & 7)
+    return int.from_bytes(bits, "little")
 
 
 def align(a: list, b: list, within: bool = False) -> list:
     """The children of two matching nodes, by their longest common subsequence of labels; the rest is optional."""
     if len(a) == len(b) and all(map(_same, a, b)):
         return [join(x, y, within) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _same(a[i], b[j]) else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if _same(a[i], b[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(join(a[i], b[j], within))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(_optional(a[i]))
-            i += 1
-        else:
-            out.append(_optional(b[j]))
-            j += 1
-    return _narrow(fold(out + [_optional(x) for x in (*a[i:], *b[j:])]))
+    out: list = []
+    i = j = 0
+    for x, y in _matches([k[LABEL] for k in a], [k[LABEL] for k in b]):
+        out += *_optional(a[i:x]), *_optional(b[j:y]), join(a[x], b[y], within)
+        i, j = x + 1, y + 1
+    return fold([*out, *_optional(a[i:]), *_optional(b[j:])])
 
 
 def expression(node: list) -> str:
     """The wrapper as a regular expression over tags and slots."""
     sign = ("" if node[LEAST] else "?") if not node[MANY] else ("+" if node[LEAST] else "*")
     if node[KIDS] is None:
-        return (node[CONST] if node[CONST] is not None else "#TEXT") + sign
-    inner = " ".join(map(expression, node[KIDS]))
+        return (node[CONST].strip() if node[CONST] is not None else "#TEXT") + sign
+    inner = " ".join(map(expression, _open(node)))
     return f"(<{node[LABEL]}> {inner} </>){sign}" if inner else f"(<{node[LABEL]}></>){sign}"
 
 
@@ -341,22 +409,23 @@ def _heads(node: list) -> bool:
     if node[KIDS] is None or not node[LEAST] or node[MANY] or not node[MASS]:
         return False
     if node[LABEL].split("#")[0] in ("h1", "h2"):
-        return any(k[KIDS] is None and k[CONST] is None for k in node[KIDS])
-    return any(map(_heads, node[KIDS]))
+        return any(k[KIDS] is None and k[CONST] is None for k in _open(node))
+    return any(map(_heads, _open(node)))
 
 
 def main_path(node: list) -> list[str]:
     """Labels from the root to the element with the main text."""
     path = []
     while True:
-        kids = [k for k in node[KIDS] or () if k[KIDS] is not None]
-        total = sum(k[MASS] for k in node[KIDS] or ())
+        inner = _open(node) or []
+        kids = [k for k in inner if k[KIDS] is not None]
+        total = sum(k[MASS] for k in inner)
         best = max(kids, key=lambda k: k[MASS], default=None)
         # a repeated element is a paragraph or an item of the main text, not what holds it
         if best is None or best[MANY] or best[MASS] < MOST_TEXT * total or best[MASS] == 0 or best[LABEL].split("#")[0] in ("p", "h1", "pre", "blockquote"):
             return path
         # nor is what follows a heading of its own the whole text
-        if any(_heads(k) for k in node[KIDS][: next(i for i, k in enumerate(node[KIDS]) if k is best)]):
+        if any(_heads(k) for k in inner[: next(i for i, k in enumerate(inner) if k is best)]):
             return path
         path.append(best[LABEL])
         if _says_article(best[LABEL]):
@@ -365,19 +434,20 @@ def main_path(node: list) -> list[str]:
 
 
 def constants(tree: list) -> list[str]:
-    """Texts that are the same on most of a host's distinct pages and stand outside of the element with the main text."""
-    inside = tree
-    for label in main_path(tree):
-        inside = max((k for k in inside[KIDS] if k[LABEL] == label and k[KIDS] is not None), key=lambda k: k[MASS])
+    """Texts (as _brief gives them) that are the same on most of a host's distinct pages and stand outside of the element with the main text."""
 
-    def found(node: list) -> list[str]:
-        if node is inside:
+    def found(node: list, path: list[str] | None) -> list[str]:
+        """The path leads to the element with the main text; it is None beside the path."""
+        # what is inside of a node stands on no more pages than the node
+        if path == [] or node[PAGES] < LEAST_PAGES or 2 * node[PAGES] <= tree[PAGES]:
             return []
         if node[KIDS] is None:
-            return [node[CONST]] if node[CONST] is not None and node[PAGES] >= LEAST_PAGES and 2 * node[PAGES] > tree[PAGES] else []
-        return [c for k in node[KIDS] for c in found(k)]
+            return [node[CONST]] if node[CONST] is not None else []
+        inner = _open(node)
+        next_ = max((k for k in inner if k[LABEL] == path[0] and k[KIDS] is not None), key=lambda k: k[MASS]) if path else None
+        return [c for k in inner for c in found(k, path[1:] if k is next_ else None)]
 
-    return found(tree)
+    return found(tree, main_path(tree))
 
 
 def _blocks(e: Element, out: list[list[str]], drop: frozenset[str]) -> None:
@@ -404,7 +474,7 @@ def text_of(elements: list[Element], drop: frozenset[str] = frozenset()) -> str:
         _blocks(e, out, drop)
         out.append([])
     lines = (_SPACE.sub(" ", "".join(b)).strip() for b in out)
-    return "\n".join(x for x in lines if x and x not in drop)
+    return "\n".join(x for x in lines if x and not (drop and _brief(x) in drop))
 
 
 def _says_article(label: str) -> bool:
@@ -473,46 +543,82 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, wrapper`` of every host, inferred from its distinct pages; the wrapper as JSON."""
+Found = Iterator[tuple[str, int, list]]  # host, part and wrapper
+
+
+def _pieces(found: Found) -> Iterator[pa.RecordBatch]:
+    """Wrappers as rows: their bytes from ``at`` on, as the JVM should hold no large rows."""
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["host", "part", "at", "wrapper"])
+
+    rows, size = [], 0
+    for host, part, tree in found:
+        held = marshal.dumps(tree)
+        for at in range(0, len(held), PIECE):
+            rows.append((host, part, at, held[at : at + PIECE]))
+            size += len(rows[-1][-1])
+            if size >= PIECE:
+                yield batch()
+                rows, size = [], 0
+    yield batch()
+
 
-    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Found:
+    """Wrappers of rows that are sorted by host, part and at."""
+    now, held = None, bytearray()
+    for batch in batches:
+        for host, part, piece in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "wrapper")), strict=True):
+            if (host, part) != now:
+                if now is not None:
+                    tree, held = marshal.loads(held), bytearray()
+                    yield *now, tree
+                now = host, part
+            held += piece
+    if now is not None:
+        tree, held = marshal.loads(held), bytearray()
+        yield *now, tree
+
+
+def wrappers(
+    pages: DataFrame, url_col: str = "url", html_col: str = "html", finish: Callable[[Found], Iterator[pa.RecordBatch]] = _pieces, schema: str = "host string, part int, at long, wrapper binary"
+) -> DataFrame:
+    """What ``finish`` makes of the wrappers of the hosts, inferred from their distinct pages; without it, marshal's bytes
+    in rows of at most PIECE."""
+
+    def infer(batches: Iterator[pa.RecordBatch]) -> Found:
         now, page, held = None, None, None
         for batch in batches:
-            out = []
             for *key, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
                 if key != now:
                     if now is not None:
-                        out.append((*now, json.dumps(held)))
+                        yield *now, held
                     now, page, held = key, text, wrapper(text)
                 elif text != page:
                     page, held = text, join(held, wrapper(text))
-            yield _parts(out)
         if now is not None:
-            yield _parts([(*now, json.dumps(held))])
+            yield *now, held
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Found:
+        for (host, part), below in groupby(_whole(batches), lambda x: (x[0], x[1] // fan)):
+            yield host, part, reduce(join, (tree for *_, tree in below))
 
-    def merge(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("below", "wrapper")), strict=True))
-        out = json.loads(rows[0][1])
-        for _, w in rows[1:]:
-            out = join(out, json.loads(w))
-        return pa.Table.from_batches([_parts([(group.column("host")[0].as_py(), group.column("part")[0].as_py(), json.dumps(out))])])
+    def step(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Found]) -> DataFrame:
+        if parts > 1:
+            return rows.mapInArrow(lambda batches: _pieces(run(batches)), "host string, part int, at long, wrapper binary")
+        return rows.mapInArrow(lambda batches: finish(run(batches)), schema)
 
+    fan = FAN
     rows = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).where("html is not null")
     parts = ceil(rows.count() / PART) or 1
     rows = rows.withColumn("h", F.xxhash64("html")).select("host", F.pmod("h", F.lit(parts)).cast("int").alias("part"), "h", "html")
     rows = rows.repartition("host", "part").sortWithinPartitions("host", "part", "h", "html")
-    found = rows.mapInArrow(infer, "host string, part int, wrapper string")
+    found = step(rows, infer)
     while parts > 1:
-        parts = ceil(parts / FAN)
-        found = found.withColumnRenamed("part", "below").withColumn("part", F.floor(F.col("below") / FAN).cast("int"))
-        found = found.groupBy("host", "part").applyInArrow(merge, "host string, part int, wrapper string")
-    return found.select("host", "wrapper")
-
-
-def _parts(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()), strict=True)], names=["host", "part", "wrapper"])
+        parts = ceil(parts / fan)
+        found = step(found.repartition("host", F.floor(F.col("part") / fan)).sortWithinPartitions("host", "part", "at"), merge)
+    return found
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -524,18 +630,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     bounded_batches(spark)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            trees = [json.loads(w) for w in batch.column(1).to_pylist()]
-            fixed = [constants(t) for t in trees]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([main_path(t) for t in trees], pa.list_(pa.string())), pa.array(fixed, pa.list_(pa.string()))], names=["host", "path", "fixed"])
+    def learn(found: Found) -> Iterator[pa.RecordBatch]:
+        for host, _, tree in found:
+            yield pa.RecordBatch.from_arrays([pa.array([host]), *(pa.array([x], pa.list_(pa.string())) for x in (main_path(tree), constants(tree)))], names=["host", "path", "fixed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(p or "", path, fixed) for p, path, fixed in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    hosts = Shelf(spark, "html").put(wrappers(pages, url_col, html_col).mapInArrow(learn, "host string, path array<string>, fixed array<string>"))
+    hosts = Shelf(spark, "html").put(wrappers(pages, url_col, html_col, learn, "host string, path array<string>, fixed array<string>"))
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), _host(F.col(url_col)).alias("host"))
     # a frequent host is a hot key of this join, which adaptive execution splits; its other side has a row a host

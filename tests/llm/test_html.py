@@ -1,5 +1,8 @@
 """What html.extract keeps of pages with and without article elements."""
 
+import marshal
+import random
+
 from ferrule.llm import html
 
 
@@ -80,3 +83,84 @@ def test_deep_long_and_wide_pages(spark):
     assert found[1] == ["One two"]
     assert found[2] == [f"Paragraph {i} {'word ' * 20}".strip() for i in range(40_000)]
     assert found[3] == found[4] == [f"Text {i}" for i in range(2500)]
+
+
+def _name(i):
+    return "".join("abcdefghij"[int(c)] for c in str(i))  # digits tell no elements apart
+
+
+def test_all_children_of_a_wide_element_count():
+    story = lambda i: "".join(f"<section class={_name(j)}><p>{f'Part {j} of story {i} '.ljust(99, '.')}</p></section>" for j in range(400))
+    pages = [f"<body><div class=story>{story(i)}</div><div class=more><p>{f'Other stories {i} '.ljust(24_000, '.')}</p></div></body>" for i in range(3)]
+    assert text(pages) == "\n".join(f"Part {j} of story 0 ".ljust(99, ".") for j in range(400))
+
+
+def test_an_element_counts_after_many_that_each_stand_on_one_page():
+    pages = [f"<body><div class={_name(i)}>{str(i).ljust(300, '.')}</div><div class=rest>Rest {i}</div></body>" for i in range(160)]
+    pages += [f"<body><div class=story>{str(i).ljust(200, '.')}</div><div class=rest>Rest {i}</div></body>" for i in range(600)]
+    assert text(pages, 700) == "540".ljust(200, ".")
+
+
+def test_a_long_text_of_the_template_is_no_main_text():
+    notice = "All that is said here is said by somebody else and nobody is to be held liable for any of it, ever. " * 2
+    page = "<body><div class=story><p>Story %s</p><p>and more of story %s</p></div><div class=legal>%s</div></body>"
+    pages = [page % (i, i, notice) for i in (str(n) * 300 for n in range(6))] + [f"<body><p>Only this</p><div class=legal>{notice}</div></body>"]
+    tree = html.wrapper(pages[0])
+    for p in pages[1:]:
+        tree = html.join(tree, html.wrapper(p))
+    fixed = html.constants(tree)
+    assert len(fixed) == 1
+    assert len(fixed[0]) < html.LONG
+    assert html.main_text(pages[6], None, fixed) == "Only this"
+
+
+def _listed(a, b):
+    """The children of two nodes aligned by the whole table of lengths: labels, and whether both sides have them."""
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_children_are_aligned_as_by_the_whole_table():
+    draw = random.Random(7)
+    for _ in range(2000):
+        names = "abcdefghijklmnopqrstuvwxyz"[: draw.choice([1, 2, 3, 6, 26])]
+        a, b = ("".join(draw.choices(names, k=draw.randrange(40))) for _ in range(2))
+        assert html._matches(a, b) == _listed(a, b)
+    a, b = (draw.choices([*"######", *map(_name, range(300))], k=700) for _ in range(2))
+    assert html._matches(a, b) == _listed(a, b)
+
+
+def test_parts_of_a_host_with_names_that_only_one_page_has(spark, monkeypatch):
+    monkeypatch.setattr(html, "PART", 4)
+    monkeypatch.setattr(html, "FAN", 3)
+    teaser = lambda i, j: f"<div class=x{_name(10 * i + j)}><h3>Teaser {i}</h3><p>{str(j).ljust(80, '.')}</p></div>"
+    page = lambda i: f"<body>{teaser(i, 0)}{teaser(i, 1)}<div class=story><p>{f'Story {i} '.ljust(999, '.')}</p></div>{teaser(i, 2)}</body>"
+    rows = [(i, f"http://a/{i}", page(i)) for i in range(100)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Story {i} ".ljust(999, ".") for i in range(100)}
+    tree = marshal.loads(html.wrappers(spark.createDataFrame(rows, "page_id long, url string, html string")).first().wrapper)
+    body = html._open(tree)[0]
+    assert body[html.PAGES] == 100
+    assert sorted(k[html.LABEL] for k in html._open(body)) == sorted(["div#story", *(f"div#x{_name(10 * i + j)}" for i in range(100) for j in range(3))])
+
+
+def test_wrappers_go_in_pieces_and_come_back_whole(monkeypatch):
+    monkeypatch.setattr(html, "PIECE", 7)
+    found = [("a", 0, html.wrapper("<body><p>One</p></body>")), ("a", 1, html.wrapper("")), ("b", 0, html.wrapper("<h1>Two</h1>"))]
+    batches = list(html._pieces(iter(found)))
+    assert max(len(x) for b in batches for x in b.column("wrapper").to_pylist()) == 7
+    assert list(html._whole(iter(batches))) == found
+    assert list(html._whole(html._pieces(iter([])))) == []
