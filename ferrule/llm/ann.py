@@ -2,8 +2,9 @@
 
 A vector is approximated by the sum of one codeword from each of CODEBOOKS full-dimensional codebooks.  These are
 fitted on a bounded sample (SAMPLE distinct vectors, those with the smallest hashes): first on the residuals of one
-another, then by least squares against the codes that the encoder finds.  Every vector is encoded by a beam search
-that keeps the BEAM best partial sums, and stored as its codes and the squared norm of its approximation.
+another, then by least squares against the codes that the encoder finds, whose sums are counted from the codes.  One
+task fits them; the driver gets the codebooks alone.  Every vector is encoded by a beam search that keeps the BEAM best
+partial sums, and stored as its codes and the squared norm of its approximation.
 
 A query makes a table of its inner products with all codewords.  A stored vector's distance is then its norm less
 twice the sum of CODEBOOKS table entries.  Each task keeps its SHORTLIST best for each query, the best of all tasks
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shelf import Shelf, bounded_batches
+from .shelf import Shelf, bounded_batches, frugal
 
 CODEBOOKS = 32
 WORDS = 128
@@ -82,16 +83,52 @@ def fit(sample: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, roun
         books[m] = _kmeans(rest, words, rng)
         rest = rest - books[m][(-2 * rest @ books[m].T + (books[m] ** 2).sum(1)).argmin(1)]
     for _ in range(rounds):
-        codes = beam_encode(sample, books)
-        used = np.zeros((len(sample), codebooks * words), dtype=np.float32)
-        for m in range(codebooks):
-            used[np.arange(len(sample)), m * words + codes[:, m].astype(int)] = 1
+        both, sums = normal_sums(beam_encode(sample, books), sample, words)
         pull = 0.01  # towards the present codewords, so that unused ones stay
-        flat = books.reshape(-1, books.shape[2])
-        books = np.linalg.solve(used.T @ used + pull * np.eye(used.shape[1], dtype=np.float32), used.T @ sample + pull * flat).reshape(books.shape).astype(np.float32)
+        both.flat[:: len(both) + 1] += pull
+        sums += pull * books.reshape(sums.shape)
+        books = np.linalg.solve(both, sums).reshape(books.shape).astype(np.float32)
+        del both  # before the next round makes another
     return books
 
 
+def normal_sums(codes: np.ndarray, x: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows have both of two codewords, for each two, and the sum of the rows of x that have a codeword.  These
+    are u'u and u'x, where u has a 1 for each codeword of a row, but u is never made."""
+    n, codebooks = codes.shape
+    codes = codes.astype(np.intp)
+    both = np.zeros((codebooks, words, codebooks, words))  # in the double precision that solve would copy it to
+    sums = np.zeros((codebooks, words, x.shape[1]))
+    for m in range(codebooks):
+        for o in range(m, codebooks):
+            pairs = np.bincount(codes[:, m] * words + codes[:, o], minlength=words * words).reshape(words, words)
+            both[m, :, o], both[o, :, m] = pairs, pairs.T
+        for j, column in enumerate(x.T):
+            sums[m, :, j] = np.bincount(codes[:, m], column, words)
+    return both.reshape(codebooks * words, -1), sums.reshape(codebooks * words, -1)
+
+
+def sample_of(classes: DataFrame) -> DataFrame:
+    """The SAMPLE rows of the smallest hashes ``h``, in one partition.  Of a large table, only hashes among which twice as
+    many are expected are sorted, so the one task doesn't get SAMPLE rows from every other."""
+    n = classes.count()
+    some = classes.where(F.col("h") < (2 * SAMPLE << 64) // n - (1 << 63)) if n > 4 * SAMPLE else classes
+    return some.select("v", "c", "h").orderBy("h", "c").limit(SAMPLE).select("v")
+
+
+def fit_in_task(sample: DataFrame, d: int) -> np.ndarray:
+    """fit() on the vectors of a table of one partition, outside the driver."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.column(0).flatten().to_numpy().astype(np.float32).reshape(-1, d) for b in batches]
+        for m, book in enumerate(fit(np.concatenate([np.empty((0, d), np.float32), *parts]))):
+            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([book.tobytes()], pa.binary())], names=["m", "book"])
+
+    books = sorted(sample.mapInArrow(run, "m int, book binary").collect())
+    return np.array([np.frombuffer(r.book, dtype=np.float32).reshape(-1, d) for r in books])
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id, v`` of the rows that take part: ids and vectors not null, all components finite, not all zero."""
     v = F.col(vector_col).cast("array<double>")
@@ -123,10 +160,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     by = Window.partitionBy("h", "v").orderBy("id")
     few = rows.select("id", "v", key.alias("h")).withColumn("i", F.dense_rank().over(by)).where(F.col("i") <= k + 1)
     classes = shelf.put(few.groupBy("h", "v").agg(F.min("id").alias("c"), F.sort_array(F.collect_set("id")).alias("ids")))
-    sample = classes.select("v", "c", "h").orderBy("h", "c").limit(SAMPLE).select("v").toArrow()
-    x = np.array(sample.column("v").combine_chunks().flatten(), dtype=np.float32).reshape(-1, d)
-    books = fit(x)
-    shared = spark.sparkContext.broadcast(books)
+    shared = spark.sparkContext.broadcast(fit_in_task(sample_of(classes), d))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,9 +217,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
 def _slices(asks: DataFrame, d: int) -> Iterator[tuple[list[int], np.ndarray]]:
     ids, part = [], []
     for r in asks.select("q", "v").toLocalIterator():
-        ids.append(r[0]), part.append(r[1])
+        ids.append(r[0]), part.append(np.array(r[1], dtype=np.float32))
         if len(ids) == QUERY_SLICE:
-            yield ids, np.array(part, dtype=np.float32)
+            yield ids, np.array(part)
             ids, part = [], []
     if ids:
-        yield ids, np.array(part, dtype=np.float32).reshape(-1, d)
+        yield ids, np.array(part).reshape(-1, d)
