@@ -9,8 +9,8 @@ after it, and one failure arc, of weight KAPPA[n] / (c(h) + KAPPA[n]), to the st
 weights and the arc's weight is p, so scoring is one walk from left to right that carries the state.
 
 The model grows with the corpus and is never in one place.  Texts are packed into blocks, compressed; a block asks for
-the counts of its own distinct n-grams, in one sorted message to each shard of the key space, with its own training
-counts; a shard adds up what all blocks have sent and answers each in the order of its question.  A block then
+the counts of its own distinct n-grams, in one sorted, compressed message to each shard of the key space, with its own
+training counts; a shard adds up what all blocks have sent and answers each in the order of its question.  A block then
 builds the part of the automaton that its texts can reach, which is exact, and walks it.  A frequent n-gram costs
 one entry a block, so no key is hot.  Blocks and answers are written to the shared folder: a lost executor repeats a
 block or a shard only.
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shelf import Shelf, bounded_batches, frugal
+from .shelf import Shelf, bounded_batches, frugal, frugally
 
 #: Weights of the priors of orders 2 and up; their number gives the model's order.
 KAPPA = (1000.0, 50.0)
@@ -54,12 +54,19 @@ def _longer(before: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
     return W.mix(before * _U(W._BASE) + token) >> _U(64 - bits)
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """W.words, of a part of the texts at a time: it holds some 40 bytes for each byte of its texts."""
+    parts = [W.words(texts.slice(a, b - a)) for a, b in W.blocks(texts)] or [W.words(texts)]
+    begin = np.cumsum([0] + [len(h) for h, _ in parts])
+    return np.concatenate([h for h, _ in parts]), np.concatenate([*(at[:-1] + b for (_, at), b in zip(parts, begin, strict=False)), begin[-1:]])
+
+
 def grams(texts: pa.Array, order: int, bits: int = 64) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Keys of the n-grams that end at each token, for n from 1 to the order; where they exist; where texts begin.
 
     A text's tokens are its words and one end; n-grams may begin with the start, but not before it.
     """
-    h, at = W.words(texts)
+    h, at = _words(texts)
     docs = len(texts)
     at = at + np.arange(docs + 1)
     tokens = np.empty(len(h) + docs, dtype=_U)
@@ -91,16 +98,27 @@ def _cuts(sorted_keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_keys, edges.astype(_U)), len(sorted_keys))
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Byte plane by byte plane, as the high planes are nearly all zero, and compressed: so Spark's buffers, sorts and
+    readers never hold a message in full.  What it takes when unpacked comes first."""
+    data = numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    planes = pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _pack(sorted_keys: np.ndarray) -> bytes:
-    """Differences, byte plane by byte plane: the high planes are nearly all zero and compress."""
+    """Differences of the keys."""
     steps = sorted_keys.copy()
     steps[1:] -= sorted_keys[:-1]
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _planes(steps)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
+    return np.cumsum(_numbers(data, "<u8"), dtype=_U)
 
 
 def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +154,12 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
-    """64-bit counts, byte plane by byte plane."""
-    return counts.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """64-bit counts."""
+    return _planes(counts)
 
 
 def _unpack_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return _numbers(data, "<u8")
 
 
 def _ask(order: int, shards: int, bits: int):
@@ -161,22 +179,32 @@ def _ask(order: int, shards: int, bits: int):
                 w = np.append(w, train.sum())  # the start comes before each training text
             count = np.bincount(place, weights=w, minlength=len(u)).astype("<u4")
             cut = _cuts(u, shards, bits if n else 64)
-            rows += [(b, n + 1, n * shards + s, _pack(u[x:y]), count[x:y].tobytes()) for s, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
+            rows += [(b, n + 1, n * shards + s, _pack(u[x:y]), _planes(count[x:y])) for s, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "n", "shard", "keys", "counts"])
 
     return run
 
 
 def _answer(messages: pa.Table) -> pa.Table:
+    return frugally(_sums, messages)
+
+
+def _sums(messages: pa.Table) -> pa.Table:
     """For each message, the sums over all messages; block -1 has the numbers of training tokens and of distinct ones."""
     blocks, order, shard = (messages.column(i).to_pylist() for i in range(3))
     keys = [_unpack(x.as_py()) for x in messages.column(3)]
     ends = np.cumsum([0] + [len(k) for k in keys])
-    count = np.concatenate([np.frombuffer(x.as_py(), dtype="<u4") for x in messages.column(4)])
-    u, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=count, minlength=len(u))
-    words = np.where(u == START, 0, total) if order[0] == 1 else np.zeros(1)
-    out = [_pack_counts(total[place[a:b]].astype("<u8")) for a, b in zip(ends, ends[1:], strict=False)]
+    keys = np.concatenate(keys)
+    by = np.argsort(keys)
+    keys = keys[by]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    count = np.concatenate([_numbers(x.as_py(), "<u4") for x in messages.column(4)])
+    total = np.add.reduceat(count[by], first, dtype="<u8")
+    words = np.where(keys[first] == START, 0, total) if order[0] == 1 else np.zeros(1)
+    del keys, count
+    sums = np.empty(len(by), "<u8")
+    sums[by] = np.repeat(total, np.diff(first, append=len(by)))
+    out = [_pack_counts(sums[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     return pa.Table.from_arrays(
         [
             pa.array([*blocks, -1], pa.int64()),
@@ -193,8 +221,8 @@ def _answer(messages: pa.Table) -> pa.Table:
 class Automaton:
     """States 0 (the root) and one for each seen context; arcs in the order of their n-gram's key."""
 
-    def __init__(self, keys: list[np.ndarray], there: list[np.ndarray], distinct: list, counts: list[np.ndarray], total: int, vocabulary: int, kappa: tuple[float, ...], bits: int):
-        order, self.bits = len(keys), bits
+    def __init__(self, there: list[np.ndarray], distinct: list, counts: list[np.ndarray], total: int, vocabulary: int, kappa: tuple[float, ...], bits: int):
+        order, self.bits = len(distinct), bits
         known = [c > 0 for c in counts]
         # states: the seen grams shorter than the order, after the root
         base = np.concatenate(([1], 1 + np.cumsum([k.sum() for k in known[:-1]]))).astype(np.int64)
@@ -203,7 +231,8 @@ class Automaton:
         self.fail, self.fail_weight, self.context = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n, dtype=_U)
         p = (counts[0] + 1.0) / (total + vocabulary + 1)
         self.unknown = float(np.log10(1.0 / (total + vocabulary + 1)))
-        arcs = []
+        ends = np.cumsum([0] + [int(k.sum()) for k in known])
+        self.arcs = [np.empty(ends[-1], kind) for kind in (_U, np.float64, np.int64)]
         for i in range(order):
             u, place = distinct[i]
             if i:
@@ -229,20 +258,21 @@ class Automaton:
                 to = self.state[i]
             else:
                 to = self.state[i - 1][follow] if order > 1 else np.zeros(len(u), dtype=np.int64)
-            arcs.append((u[known[i]], np.log10(p[known[i]]), to[known[i]]))
-        self.arcs = [np.concatenate(x) for x in zip(*arcs, strict=True)]
+            for arc, values in zip(self.arcs, (u, np.log10(p), to), strict=True):
+                arc[ends[i] : ends[i + 1]] = values[known[i]]
         by = np.argsort(self.arcs[0], kind="stable")
-        self.arcs = [x[by] for x in self.arcs]
+        for i in range(len(self.arcs)):
+            self.arcs[i] = self.arcs[i][by]
         found = np.flatnonzero(self.context == START)
         self.begin = int(found[0]) if len(found) else 0
 
     _starts: np.ndarray
 
     @classmethod
-    def of_block(cls, keys, there, at, distinct, counts, total, vocabulary, kappa, bits) -> Automaton:
+    def of_block(cls, there, at, distinct, counts, total, vocabulary, kappa, bits) -> Automaton:
         self = cls.__new__(cls)
         self._starts = at[:-1]
-        self.__init__(keys, there, distinct, counts, total, vocabulary, kappa, bits)
+        self.__init__(there, distinct, counts, total, vocabulary, kappa, bits)
         return self
 
     @staticmethod
@@ -287,9 +317,14 @@ class Automaton:
 
 def _walk(order: int, shards: int, kappa: tuple[float, ...], total: int, vocabulary: int, bits: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        return frugally(of, block, answers)
+
+    def of(block: pa.Table, answers: pa.Table) -> pa.Table:
         block = _unpacked(_one(block.column("rows"))[0])
         keys, there, at = grams(_one(block.column("text")), order, bits)
         distinct = _distinct(keys, there)
+        tokens = keys[0]
+        del keys
         counts = []
         by = sorted(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True))
         for n in range(order):
@@ -298,7 +333,7 @@ def _walk(order: int, shards: int, kappa: tuple[float, ...], total: int, vocabul
             if len(got) != len(distinct[n][0]):
                 raise ValueError("answers do not fit the block's questions")
             counts.append(got.astype(np.float64))
-        model = Automaton.of_block(keys, there, at, distinct, counts, total, vocabulary, kappa, bits)
+        model = Automaton.of_block(there, at, distinct, counts, total, vocabulary, kappa, bits)
         known = counts[0][distinct[0][1][:-1]]
         base = np.log10((known + 1.0) / (total + vocabulary + 1))
         begin = at[:-1]
@@ -310,7 +345,7 @@ def _walk(order: int, shards: int, kappa: tuple[float, ...], total: int, vocabul
                 pa.array(np.add.reduceat((known > 0).astype(np.int64), begin)),
                 pa.array(np.full(len(begin), total)),
                 pa.array(np.add.reduceat(base, begin)),
-                pa.array(model.score(keys[0], at)),
+                pa.array(model.score(tokens, at)),
             ],
             names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )

@@ -39,6 +39,13 @@ def bounded_batches(spark: SparkSession) -> None:
 CACHES: list = []
 
 
+def _hand_back() -> None:
+    W.forget()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cache=None):
     """The function of a task, which drops what other operators' tasks have kept, and at its end hands the memory that
     it no longer uses back to the machine: Python workers go on from task to task, and an executor's limit counts
@@ -52,14 +59,22 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
         try:
             yield from run(batches)
         finally:
-            W.forget()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            _hand_back()
 
     return task
 
 
+def frugally(run: Callable[..., pa.Table], *tables: pa.Table) -> pa.Table:
+    """The same for the function of a group or of two.  Spark counts the arguments of such a function, so it calls this
+    instead of being wrapped."""
+    for other in CACHES:
+        other.cache_clear()
+    try:
+        return run(*tables)
+    finally:
+        _hand_back()
+
+
 class Shelf:
     """A folder of one run.  put() writes and reads again; drop() deletes what is no longer needed."""
 

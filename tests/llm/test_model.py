@@ -1,9 +1,12 @@
 """The language model's scores against a plain version of its formula."""
 
 import math
+import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +54,43 @@ def test_scores_are_those_of_the_formula(spark, monkeypatch, kappa):
 def test_counts_beyond_32_bits():
     back = lm._unpack_counts(lm._pack_counts(lm.np.array([0, 1, 5_000_000_000], dtype="<u8")))
     assert back.tolist() == [0, 1, 5_000_000_000]
+
+
+def a_block():
+    """About 4 MB of texts, and them as a block."""
+    rng = random.Random(8)
+    texts = pa.array([" ".join(f"w{int(rng.paretovariate(0.6)) % 200000}" for _ in range(500)) for _ in range(2400)])
+    table = pa.table({"id": range(len(texts)), "text": texts, "train": [i % 7 != 2 for i in range(len(texts))]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return texts, pa.record_batch({"block": [0], "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def test_words_of_a_block_are_found_in_parts():
+    texts, _ = a_block()
+    tracemalloc.start()
+    lm._words(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 * texts.nbytes
+    h, at = lm._words(texts)
+    whole, begin = lm.W.words(texts)
+    assert (h == whole).all() and (at == begin).all()
+
+
+def test_messages_are_small_and_sums_exact():
+    texts, block = a_block()
+    order, shards, bits = 3, 2, 50
+    (asked,) = lm._ask(order, shards, bits)([block])
+    keys, there, at = lm.grams(texts, order, bits)
+    entries = sum(len(u) for u, _ in lm._distinct(keys, there))
+    assert asked.nbytes < 8 * entries  # keys alone were 8 bytes each, and counts 4
+    for s in range(order * shards):
+        messages = pa.Table.from_batches([asked]).filter(pa.compute.equal(asked.column("shard"), s))
+        answers = lm._answer(pa.concat_tables([messages] * 3))
+        assert answers.column("block").to_pylist() == [0, 0, 0, -1]
+        once = lm._numbers(messages.column("counts")[0].as_py(), "<u4")
+        assert answers.nbytes < 4 * 3 * len(once)  # they were 8 bytes each
+        for k in range(3):
+            assert (lm._unpack_counts(answers.column("counts")[k].as_py()) == 3 * once.astype("<u8")).all()
