@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shelf import Shelf, bounded_batches, frugal, frugally
+from .shelf import Shelf, bounded_batches, frugal, frugally, hand_back
 
 #: Weights of the priors of orders 2 and up; their number gives the model's order.
 KAPPA = (1000.0, 50.0)
@@ -89,7 +89,7 @@ def _distinct(keys: list[np.ndarray], there: list[np.ndarray]) -> list[tuple[np.
     out = []
     for i, (k, ok) in enumerate(zip(keys, there, strict=True)):
         u, at = np.unique(np.append(k, START) if i == 0 else k[ok], return_inverse=True)
-        out.append((u, at))
+        out.append((u, at.astype(np.int32)))
     return out
 
 
@@ -231,6 +231,16 @@ class Automaton:
         self.fail, self.fail_weight, self.context = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n, dtype=_U)
         p = (counts[0] + 1.0) / (total + vocabulary + 1)
         self.unknown = float(np.log10(1.0 / (total + vocabulary + 1)))
+        self._fill(there, distinct, counts, known, kappa, p)
+        by = np.argsort(self.arcs[0], kind="stable")
+        for i in range(len(self.arcs)):
+            self.arcs[i] = self.arcs[i][by]
+        found = np.flatnonzero(self.context == START)
+        self.begin = int(found[0]) if len(found) else 0
+
+    def _fill(self, there: list[np.ndarray], distinct: list, counts: list[np.ndarray], known: list[np.ndarray], kappa: tuple[float, ...], p: np.ndarray) -> None:
+        """States and arcs, order by order; p is that of the first."""
+        order = len(distinct)
         ends = np.cumsum([0] + [int(k.sum()) for k in known])
         self.arcs = [np.empty(ends[-1], kind) for kind in (_U, np.float64, np.int64)]
         for i in range(order):
@@ -260,11 +270,6 @@ class Automaton:
                 to = self.state[i - 1][follow] if order > 1 else np.zeros(len(u), dtype=np.int64)
             for arc, values in zip(self.arcs, (u, np.log10(p), to), strict=True):
                 arc[ends[i] : ends[i + 1]] = values[known[i]]
-        by = np.argsort(self.arcs[0], kind="stable")
-        for i in range(len(self.arcs)):
-            self.arcs[i] = self.arcs[i][by]
-        found = np.flatnonzero(self.context == START)
-        self.begin = int(found[0]) if len(found) else 0
 
     _starts: np.ndarray
 
@@ -277,7 +282,7 @@ class Automaton:
 
     @staticmethod
     def _places(distinct: list, there: list[np.ndarray], i: int) -> np.ndarray:
-        out = np.zeros(len(there[i]), dtype=np.int64)
+        out = np.zeros(len(there[i]), dtype=np.int32)
         out[there[i]] = distinct[i][1][: int(there[i].sum())]
         return out
 
@@ -325,6 +330,7 @@ def _walk(order: int, shards: int, kappa: tuple[float, ...], total: int, vocabul
         distinct = _distinct(keys, there)
         tokens = keys[0]
         del keys
+        hand_back()
         counts = []
         by = sorted(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True))
         for n in range(order):

@@ -39,7 +39,7 @@ def bounded_batches(spark: SparkSession) -> None:
 CACHES: list = []
 
 
-def _hand_back() -> None:
+def hand_back() -> None:
     W.forget()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
@@ -59,7 +59,7 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
         try:
             yield from run(batches)
         finally:
-            _hand_back()
+            hand_back()
 
     return task
 
@@ -72,7 +72,7 @@ def frugally(run: Callable[..., pa.Table], *tables: pa.Table) -> pa.Table:
     try:
         return run(*tables)
     finally:
-        _hand_back()
+        hand_back()
 
 
 class Shelf:
